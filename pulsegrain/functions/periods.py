@@ -54,13 +54,13 @@ def period_index(first: Column, later: Column, period: str) -> Column:
 
 
 def time_bucket(ts: str | Column, width: dt.timedelta) -> Column:
-    """Index of the fixed-width time slice a timestamp falls in.
+    """Start of the fixed-width time slice a timestamp falls in, in microseconds.
 
     Used as a second grouping key, so that one user with very many rows is spread over many
     tasks instead of being sorted in one.
     """
-    micros = int(width / dt.timedelta(microseconds=1))
-    return F.floor(F.unix_micros(ts) / F.lit(micros)).cast("bigint")
+    micros = F.unix_micros(ts)
+    return micros - F.pmod(micros, F.lit(int(width / dt.timedelta(microseconds=1))).cast("bigint"))
 
 
 def iso_text(ts: str | Column) -> Column:

@@ -11,37 +11,29 @@ from pulsegrain.functions.periods import time_bucket
 from pulsegrain.functions.props import prop
 
 
-def sessionize(events: DataFrame, gap: dt.timedelta = dt.timedelta(minutes=30),
-               slice_width: dt.timedelta = dt.timedelta(days=1)) -> DataFrame:
+def sessionize(events: DataFrame, gap: dt.timedelta = dt.timedelta(minutes=30)) -> DataFrame:
     """Number the sessions of each user: a new one starts after more than ``gap`` without events.
 
     Adds ``session_no`` (1, 2, ...) and ``session_id`` (``<user>-<no>``); definition ours.
 
-    A window over a user's whole history would put a very active user into one task. Instead the
-    history is cut into time slices. Sessions are counted inside each slice; then a window over
-    the slices (one small row each) finds whether a slice continues the last one and how many
-    sessions came before it; joining this back shifts the numbers. Both uses of the rows read
-    one shuffle, and the join needs no other.
+    Time is cut into slices as wide as the gap. Two events of one slice are never more than the gap
+    apart, so a session can only break between slices, and first and last time per user and slice
+    are enough to find every break. Events are thus aggregated, in the map tasks already, instead
+    of being sorted per user; the window runs over slices, of which a user has a bounded number.
+    The numbers are joined back by user and slice, a key that divides even a very active user. If
+    the slice table is small, Spark broadcasts it and the events are not shuffled at all.
+    Events without a user id are kept, with no session.
     """
-    rows = events.drop("session_id").withColumn("_slice", time_bucket("timestamp", slice_width))
-    inner = Window.partitionBy("user_id", "_slice").orderBy("timestamp", "id")
-    starts = (F.col("timestamp") - F.lag("timestamp").over(inner)) > F.lit(gap)
-    local = (rows.withColumn("_starts", F.coalesce(starts, F.lit(False)).cast("bigint"))
-             .withColumn("_local", F.sum("_starts").over(inner.rowsBetween(Window.unboundedPreceding, 0))))
-
-    slices = local.groupBy("user_id", "_slice").agg(
-        F.min("timestamp").alias("_first"), F.max("timestamp").alias("_last"), F.max("_local").alias("_count"))
-    outer = Window.partitionBy("user_id").orderBy("_slice")
-    opens = F.coalesce((F.col("_first") - F.lag("_last").over(outer)) > F.lit(gap), F.lit(True)).cast("bigint")
-    numbered = (slices.withColumn("_opens", opens)
-                .withColumn("_base", F.sum(F.col("_opens") + F.col("_count"))
-                            .over(outer.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_count"))
-                .select("user_id", "_slice", "_base"))
-
-    return (local.join(numbered, ["user_id", "_slice"])
-            .withColumn("session_no", F.col("_base") + F.col("_local"))
-            .withColumn("session_id", F.concat_ws("-", "user_id", F.col("session_no").cast("string")))
-            .drop("_slice", "_starts", "_local", "_base"))
+    rows = events.drop("session_id").withColumn("_slice", time_bucket("timestamp", gap))
+    slices = rows.filter(F.col("user_id").isNotNull()).groupBy("user_id", "_slice").agg(F.min("timestamp").alias("_first"), F.max("timestamp").alias("_last"))
+    order = Window.partitionBy("user_id").orderBy("_slice")
+    breaks = F.coalesce((F.col("_first") - F.lag("_last").over(order)) > F.lit(gap), F.lit(True))
+    numbered = (slices.withColumn("_new", breaks.cast("bigint"))
+                .select("user_id", "_slice", F.sum("_new").over(
+                    order.rowsBetween(Window.unboundedPreceding, 0)).alias("session_no")))
+    return (rows.join(numbered, ["user_id", "_slice"], "left")
+            .withColumn("session_id", F.concat("user_id", F.lit("-"), F.col("session_no").cast("string")))
+            .drop("_slice"))
 
 
 def session_table(events: DataFrame, page_view: str = "page_view") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pulsegrain.functions import web
 from pulsegrain.functions.periods import time_bucket
 from pulsegrain.functions.props import merge_maps
-from pulsegrain.functions.text import mask_text, sanitize_text
+from pulsegrain.functions.text import PII_RULES, mask_rule, sanitize_text
 
 # Fixed values.
 SCROLL_POINTS = (25, 50, 75, 100)
@@ -73,8 +73,13 @@ def sanitize(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def mask_pii(df: DataFrame, *cols: str) -> DataFrame:
-    """Mask e-mail addresses, IP addresses and phone-like numbers in text columns (definition ours)."""
-    return df.withColumns({c: mask_text(c) for c in cols})
+    """Mask e-mail addresses, IP addresses and phone-like numbers in text columns (definition ours).
+
+    One projection per rule, so each rule reads the result of the one before it once.
+    """
+    for needed, pattern, tag in PII_RULES:
+        df = df.withColumns({c: mask_rule(F.col(c), needed, pattern, tag) for c in cols})
+    return df
 
 
 def typed_props(df: DataFrame, spec: Mapping[str, tuple[Sequence[str], str]], props: str = "properties") -> DataFrame:

@@ -10,7 +10,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pulsegrain.functions.periods import as_of_column, iso_text
+from pulsegrain.functions.periods import as_of_column
 from pulsegrain.operators.sessions import sessionize
 from pulsegrain.session import configure
 from pulsegrain.sources.ingest import parse_events
@@ -56,23 +56,21 @@ def _text(col: str | Column) -> Column:
 
 def shape_events(raw: DataFrame) -> DataFrame:
     """Rows of the ``events`` table as canonical events, without session ids."""
-    user, k = F.col("user_id"), F.get_json_object("props", "$.k")
-    lane = F.floor(user / 3) % 3
-    agent = F.element_at(F.array(*[F.lit(a) for a in AGENTS]), (F.col("event_id") % len(AGENTS) + 1).cast("int"))
-    return raw.select(
-        _text("event_id").alias("id"),
-        F.concat(F.lit("p"), _text(user % 3)).alias("project_id"),
-        _text(user).alias("user_id"),
-        F.when(F.col("event_type") == "view", "page_view").otherwise(F.col("event_type")).alias("event_name"),
-        F.create_map(
-            F.lit("k"), k, F.lit("page"), F.concat(F.lit("/p/"), k), F.lit("load_time"), _text("value"),
-            F.lit("experiment"), F.when(user % 2 == 0, "variant_a").otherwise("control")).alias("properties"),
-        F.col("ts").alias("timestamp"), "value",
-        F.when(lane == 0, "web").when(lane == 1, "android").otherwise("ios").alias("platform"),
-        agent.alias("user_agent"),
-        F.concat(F.lit("N"), _text(user % 25)).alias("country"),
-        F.concat(F.lit("C"), _text(user % 100)).alias("city"),
-        F.concat(F.lit("key_"), _text(user)).alias("api_key"))
+    agents = ", ".join(f"'{a}'" for a in AGENTS)
+    return raw.selectExpr(
+        "string(event_id) AS id",
+        "concat('p', user_id % 3) AS project_id",
+        "string(user_id) AS user_id",
+        "if(event_type = 'view', 'page_view', event_type) AS event_name",
+        "map('k', get_json_object(props, '$.k'), 'page', concat('/p/', get_json_object(props, '$.k')), "
+        "'load_time', string(value), 'experiment', if(user_id % 2 = 0, 'variant_a', 'control')) AS properties",
+        "ts AS timestamp",
+        "value",
+        "CASE (user_id div 3) % 3 WHEN 0 THEN 'web' WHEN 1 THEN 'android' ELSE 'ios' END AS platform",
+        f"element_at(array({agents}), int(event_id % {len(AGENTS)} + 1)) AS user_agent",
+        "concat('N', user_id % 25) AS country",
+        "concat('C', user_id % 100) AS city",
+        "concat('key_', user_id) AS api_key")
 
 
 def base_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,49 +99,40 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
 def commerce_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders, and one ship or return event per line item, over several years."""
     orders, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    placed = orders.select(
-        F.concat(F.lit("o"), _text("o_orderkey")).alias("id"), _text("o_custkey").alias("user_id"),
-        F.lit("order").alias("event_name"), F.col("o_orderdate").alias("timestamp"),
-        _text("o_orderkey").alias("session_id"),
-        F.create_map(F.lit("order_id"), _text("o_orderkey"), F.lit("currency"), F.lit("USD"),
-                     F.lit("total"), _text("o_totalprice")).alias("properties"))
-    moved = items.join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).select(
-        F.concat_ws("-", F.lit("l"), _text("l_orderkey"), _text("l_linenumber"), _text("l_partkey"),
-                    _text("l_suppkey")).alias("id"),
-        _text("o_custkey").alias("user_id"),
-        F.when(F.col("l_returnflag") == "R", "return").otherwise("ship").alias("event_name"),
-        F.col("l_shipdate").alias("timestamp"), _text("l_orderkey").alias("session_id"),
-        F.create_map(F.lit("order_id"), _text("l_orderkey"), F.lit("product_id"), _text("l_partkey"),
-                     F.lit("quantity"), _text(F.col("l_quantity").cast("bigint")),
-                     F.lit("price"), _text("l_extendedprice")).alias("properties"))
+    placed = orders.selectExpr(
+        "concat('o', o_orderkey) AS id", "string(o_custkey) AS user_id", "'order' AS event_name",
+        "o_orderdate AS timestamp", "string(o_orderkey) AS session_id",
+        "map('order_id', string(o_orderkey), 'currency', 'USD', 'total', string(o_totalprice)) AS properties")
+    moved = items.join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).selectExpr(
+        "concat_ws('-', 'l', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id", "string(o_custkey) AS user_id",
+        "if(l_returnflag = 'R', 'return', 'ship') AS event_name", "l_shipdate AS timestamp",
+        "string(l_orderkey) AS session_id",
+        "map('order_id', string(l_orderkey), 'product_id', string(l_partkey), "
+        "'quantity', string(bigint(l_quantity)), 'price', string(l_extendedprice)) AS properties")
     return placed.unionByName(moved).withColumn("project_id", F.lit("shop"))
 
 
 def raw_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as clients would send them, every kind of fault mixed in by event id."""
-    e = F.col("event_id")
-    shaped = table(spark, sf_dir, "events").withColumn("_lane", F.floor(F.col("user_id") / 3) % 3)
-    good_time = F.when(e % 2 == 0, _text(F.unix_millis("ts"))).otherwise(iso_text("ts"))
-    return shaped.select(
-        _text(e).alias("id"),
-        F.when(e % 97 == 0, None).when(e % 101 == 0, "").otherwise(_text("user_id")).alias("user_id"),
-        F.when(e % 89 == 0, "").when(e % 83 == 0, F.repeat(F.lit("x"), F.lit(120)))
-        .when(e % 79 == 0, "bad name!").otherwise(F.col("event_type")).alias("event_name"),
-        F.when(e % 73 == 0, '{"a":{"b":1}}').when(e % 71 == 0, "[1]").when(e % 70 == 0, None)
-        .otherwise(F.col("props")).alias("properties"),
-        F.when(e % 67 == 0, "not a time").when(e % 61 == 0, None).otherwise(good_time).alias("timestamp"),
-        F.when(e % 59 == 0, "desktop").when(e % 3 == 0, None)
-        .otherwise(F.when(F.col("_lane") == 0, "web").when(F.col("_lane") == 1, "android").otherwise("ios")).alias("platform"))
+    return table(spark, sf_dir, "events").selectExpr(
+        "string(event_id) AS id",
+        "CASE WHEN event_id % 97 = 0 THEN NULL WHEN event_id % 101 = 0 THEN '' ELSE string(user_id) END AS user_id",
+        "CASE WHEN event_id % 89 = 0 THEN '' WHEN event_id % 83 = 0 THEN repeat('x', 120) "
+        "WHEN event_id % 79 = 0 THEN 'bad name!' ELSE event_type END AS event_name",
+        """CASE WHEN event_id % 73 = 0 THEN '{"a":{"b":1}}' WHEN event_id % 71 = 0 THEN '[1]' """
+        "WHEN event_id % 70 = 0 THEN NULL ELSE props END AS properties",
+        "CASE WHEN event_id % 67 = 0 THEN 'not a time' WHEN event_id % 61 = 0 THEN NULL "
+        "WHEN event_id % 2 = 0 THEN string(unix_millis(ts)) "
+        """ELSE date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'") END AS timestamp""",
+        "CASE WHEN event_id % 59 = 0 THEN 'desktop' WHEN event_id % 3 = 0 THEN NULL "
+        "WHEN (user_id div 3) % 3 = 0 THEN 'web' WHEN (user_id div 3) % 3 = 1 THEN 'android' ELSE 'ios' END AS platform")
 
 
 def raw_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same as JSON text: columns ``id`` and ``value``."""
-    fields = [F.when(F.col(c).isNotNull(), F.concat(
-        F.lit(f'"{c}":'), F.col(c) if c == "properties" else F.to_json(F.struct(F.col(c).alias("v"))).substr(
-            F.lit(6), F.length(F.to_json(F.struct(F.col(c).alias("v")))) - 6)))
-        for c in ("user_id", "event_name", "properties", "timestamp", "platform")]
-    return raw_columns(spark, sf_dir).select(
-        "id", F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}")).alias("value"))
+    """The same as JSON text: columns ``id`` and ``value``. Properties are JSON already."""
+    return raw_columns(spark, sf_dir).selectExpr(
+        "id", """concat(rtrim('}', to_json(struct(user_id, event_name, timestamp, platform))),
+                        coalesce(concat(',"properties":', properties), ''), '}') AS value""")
 
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
