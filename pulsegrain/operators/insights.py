@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from pulsegrain.functions.numbers import rounded
 from pulsegrain.functions.periods import period_start
 from pulsegrain.operators.metrics import counts_users_sessions
 
@@ -21,7 +22,7 @@ def daily_series(events: DataFrame) -> DataFrame:
 
 def change_percent(now: Column, before: Column) -> Column:
     """Change in percent, NULL when there is no value before or it is zero."""
-    return F.round(F.try_divide((now - before).cast("double"), before.cast("double")) * 100, 2)
+    return rounded(F.try_divide((now - before).cast("double"), before.cast("double")) * 100, 2)
 
 
 def vs_previous(df: DataFrame, metrics: Sequence[str], order: str, keys: Sequence[str] = ("project_id",)) -> DataFrame:
@@ -43,7 +44,7 @@ def trend(daily: DataFrame, metric: str, days: int = 7, threshold: float = 20.0)
         F.count("*").over(before).alias("_rows")).filter(F.col("_rows") == days)
     change = change_percent(F.col("_now"), F.col("_before"))
     return means.select(
-        "project_id", "date", F.round("_now", 4).alias("trailing_avg"), F.round("_before", 4).alias("prior_avg"),
+        "project_id", "date", rounded(F.col("_now"), 4).alias("trailing_avg"), rounded(F.col("_before"), 4).alias("prior_avg"),
         change.alias("change"), F.when(change >= threshold, "up").when(change <= -threshold, "down")
         .otherwise("flat").alias("trend"))
 
@@ -53,8 +54,8 @@ def anomalies(daily: DataFrame, metric: str, z: float = 3.0, days: int = 7) -> D
     before = Window.partitionBy("project_id").orderBy("date").rowsBetween(-days, -1)
     mean, spread = F.avg(metric).over(before), F.stddev_samp(metric).over(before)
     scored = daily.select("project_id", "date", F.col(metric).alias("value"), mean.alias("_m"), spread.alias("_s"))
-    score = F.round(F.try_divide(F.col("value") - F.col("_m"), F.col("_s")), 4)
-    return scored.select("project_id", "date", "value", F.round("_m", 4).alias("expected"), score.alias("z_score"),
+    score = rounded(F.try_divide(F.col("value") - F.col("_m"), F.col("_s")), 4)
+    return scored.select("project_id", "date", "value", rounded(F.col("_m"), 4).alias("expected"), score.alias("z_score"),
                          F.coalesce(F.abs(score) >= z, F.lit(False)).alias("is_anomaly"))
 
 
@@ -68,7 +69,7 @@ def forecast(daily: DataFrame, metric: str, horizon: int = 7) -> DataFrame:
     ahead = fit.withColumn("_step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
     return ahead.select(
         "project_id", F.date_add("_last", F.col("_step")).alias("date"),
-        F.round(F.col("_base") + F.col("_slope") * (F.col("_last_x") + F.col("_step")), 4).alias("forecast"))
+        rounded(F.col("_base") + F.col("_slope") * (F.col("_last_x") + F.col("_step")), 4).alias("forecast"))
 
 
 def period_report(events: DataFrame, period: str = "weekly") -> DataFrame:

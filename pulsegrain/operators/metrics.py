@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pulsegrain.functions.numbers import percent, ratio
+from pulsegrain.functions.numbers import percent, ratio, rounded
 from pulsegrain.functions.periods import AsOf, period_start
 from pulsegrain.functions.props import prop, prop_num
 from pulsegrain.operators.filters import for_project, has_prop, named, scoped, trailing
@@ -120,7 +120,7 @@ def top_pages(events: DataFrame, project_id: str | None, date_range: str = "30d"
         rows.withColumn("page", prop("page")), ["page"], exact, "page_views", "unique_visitors", "sessions",
         {"_load": load, "_loads": load.isNotNull().cast("bigint")})
     shaped = stats.select("page", "page_views", "unique_visitors", "sessions",
-                          F.round(F.try_divide("_load", "_loads"), 2).alias("avg_load_time"))
+                          rounded(F.try_divide("_load", "_loads"), 2).alias("avg_load_time"))
     return paginate(shaped, [F.col("page_views").desc(), F.col("page")], page, limit)
 
 
@@ -221,5 +221,5 @@ def experiment_readout(events: DataFrame, goal: str, control: str, key: str = "e
     error = F.sqrt(pooled * (1 - pooled) * (ratio(F.lit(1), n) + ratio(F.lit(1), n0)))
     return table.select(
         "variant", "users", "converted", "conversion_rate",
-        F.round((p - p0) * 100, 2).alias("difference"),
-        F.round(ratio(p - p0, error), 4).alias("z_score"))
+        rounded((p - p0) * 100, 2).alias("difference"),
+        rounded(ratio(p - p0, error), 4).alias("z_score"))

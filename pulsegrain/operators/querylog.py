@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from pulsegrain.functions import text
-from pulsegrain.functions.numbers import percent
+from pulsegrain.functions.numbers import percent, rounded
 from pulsegrain.operators.paging import top_n
 
 # Upper bounds of the latency histogram, in seconds.
@@ -41,9 +41,9 @@ def query_log_stats(log: DataFrame, exact: bool = True) -> DataFrame:
     pick = F.percentile if exact else F.percentile_approx
     grouped = log.groupBy("project_id", success.alias("success")).agg(
         F.count("*").alias("queries"),
-        F.round(pick("execution_time_ms", F.lit(0.5)), 2).alias("p50_ms"),
-        F.round(pick("execution_time_ms", F.lit(0.95)), 2).alias("p95_ms"),
-        F.max("execution_time_ms").alias("max_ms"), F.round(F.avg("result_count"), 2).alias("avg_rows"))
+        rounded(pick("execution_time_ms", F.lit(0.5)), 2).alias("p50_ms"),
+        rounded(pick("execution_time_ms", F.lit(0.95)), 2).alias("p95_ms"),
+        F.max("execution_time_ms").alias("max_ms"), rounded(F.avg("result_count"), 2).alias("avg_rows"))
     totals = log.groupBy("project_id").agg(F.count("*").alias("_all"))
     return (grouped.join(totals, "project_id")
             .withColumn("share", percent(F.col("queries"), F.col("_all"))).drop("_all"))

@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from pulsegrain.functions.numbers import percent
+from pulsegrain.functions.numbers import percent, rounded
 from pulsegrain.functions.periods import time_bucket
 from pulsegrain.functions.props import prop
 
@@ -53,10 +53,10 @@ def session_stats(sessions: DataFrame, *dims: str) -> DataFrame:
     """
     return sessions.groupBy(*dims).agg(
         F.count("*").alias("sessions"),
-        F.round(F.avg("duration_seconds"), 2).alias("avg_duration_seconds"),
+        rounded(F.avg("duration_seconds"), 2).alias("avg_duration_seconds"),
         F.max("duration_seconds").alias("max_duration_seconds"),
-        F.round(F.avg("events_count"), 2).alias("avg_events"),
-        F.round(F.avg("page_views"), 2).alias("avg_page_views"),
+        rounded(F.avg("events_count"), 2).alias("avg_events"),
+        rounded(F.avg("page_views"), 2).alias("avg_page_views"),
         percent(F.count_if(F.col("events_count") == 1), F.count("*")).alias("bounce_rate"))
 
 

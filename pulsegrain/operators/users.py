@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from pulsegrain.functions.numbers import ratio
+from pulsegrain.functions.numbers import ratio, rounded
 from pulsegrain.functions.periods import AsOf, as_of_column
 
 
@@ -58,8 +58,8 @@ def churn_risk(events: DataFrame, as_of: AsOf = None, factor: float = 1.0) -> Da
     mean_gap = F.try_divide((F.unix_micros("last_seen") - F.unix_micros("_first")) / 3.6e9, F.col("events") - 1)
     idle = (F.unix_micros(now) - F.unix_micros("last_seen")) / 3.6e9
     return spans.select(
-        "user_id", "events", "last_seen", F.round(mean_gap, 2).alias("mean_gap_hours"),
-        F.round(idle, 2).alias("idle_hours"), F.coalesce(idle > mean_gap * factor, F.lit(False)).alias("at_risk"))
+        "user_id", "events", "last_seen", rounded(mean_gap, 2).alias("mean_gap_hours"),
+        rounded(idle, 2).alias("idle_hours"), F.coalesce(idle > mean_gap * factor, F.lit(False)).alias("at_risk"))
 
 
 def stickiness(events: DataFrame, window_days: int = 30) -> DataFrame:

@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from pulsegrain.functions.numbers import rounded
 from pulsegrain.functions.periods import AsOf
 from pulsegrain.schemas import (
     MAX_NAME_LENGTH, MAX_PROPERTIES, MAX_PROPERTIES_CHARS, PLATFORMS, STRICT_NAME_PATTERN, UUID_PATTERN)
@@ -110,4 +111,4 @@ def validation_summary(df: DataFrame, strict: bool = False, id_pattern: str | No
               .groupBy(F.coalesce("field", F.lit("")).alias("field"), F.coalesce("error", F.lit("")).alias("error"))
               .agg(F.count("*").alias("events")))
     total = F.sum("events").over(Window.partitionBy(F.lit(1)))
-    return counts.withColumn("share", F.round(F.col("events") / total, 4))
+    return counts.withColumn("share", rounded(F.col("events") / total, 4))

@@ -24,12 +24,12 @@ TEMPLATES = {
         WHERE project_id = :project_id AND event_name = 'page_view'
         GROUP BY ALL ORDER BY page_views DESC, page""",
     "top_engagement": """
-        SELECT event_name, round(count(*) / count(DISTINCT user_id), 2) AS events_per_user FROM {events}
+        SELECT event_name, round(count(*) / count(DISTINCT user_id) * 100) / 100 AS events_per_user FROM {events}
         WHERE project_id = :project_id GROUP BY event_name
         ORDER BY events_per_user DESC, event_name LIMIT 5""",
     "conversion_by_platform": """
         SELECT platform, round(try_divide(count(DISTINCT CASE WHEN event_name = :goal THEN user_id END),
-                                          count(DISTINCT user_id)) * 100, 2) AS conversion_rate
+                                          count(DISTINCT user_id)) * 100 * 100) / 100 AS conversion_rate
         FROM {events} WHERE project_id = :project_id GROUP BY platform ORDER BY platform""",
     "inactive_users": """
         SELECT user_id, max(timestamp) AS last_seen FROM {events}
