@@ -35,3 +35,16 @@ def dedupe_events(df: DataFrame, order: str | None = "id") -> DataFrame:
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Keep the newest row per key; ``order`` should be a total order."""
     return first_per_key(df, list(keys), [F.col(c).desc_nulls_last() for c in order])
+
+
+def one_per_key(df: DataFrame, key: str, *aggs: Column) -> DataFrame:
+    """Aggregate a lookup to one row per key, so that a join with it can still be split.
+
+    Adaptive execution divides the rows of a hot key among tasks only if both join inputs come
+    straight from a shuffle. An aggregate on the join key would be joined without one. Grouping by
+    one more column that follows from the key leaves the groups as they are and makes Spark
+    shuffle the (small) result for the join.
+    """
+    keyed = df.withColumn("_follows", F.hash(key))
+    grouped = keyed.groupBy(key, "_follows").agg(*aggs) if aggs else keyed.select(key, "_follows").distinct()
+    return grouped.drop("_follows")

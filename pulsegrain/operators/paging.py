@@ -10,19 +10,35 @@ MAX_RECENT = 100
 DEFAULT_RECENT = 10
 MAX_ROWS = 10000
 DEFAULT_ROWS = 100
+CANDIDATE_LANES = 64
 
 
-def recent_events(events: DataFrame, project_id: str | None, limit: int = DEFAULT_RECENT) -> DataFrame:
-    """A project's newest events, at most 100. Each task keeps only its own newest rows."""
-    rows = events if project_id is None else events.filter(F.col("project_id") == project_id)
-    return rows.orderBy(F.col("timestamp").desc(), "id").limit(min(limit or DEFAULT_RECENT, MAX_RECENT))
+def first_n_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
+    """The first ``n`` rows of each group by a total order, in two rounds.
+
+    Each task already drops all but its own first ``n`` rows of a group. With very many tasks, what
+    is left of a large group is still too much for one task; so the candidates of a group first
+    meet in ``CANDIDATE_LANES`` lanes, and only the winners of the lanes meet in one place. Which
+    lane a row takes does not matter to the result.
+    """
+    lane = F.pmod(F.spark_partition_id(), F.lit(CANDIDATE_LANES))
+    lanes = Window.partitionBy(*keys, "_lane").orderBy(*order)
+    groups = Window.partitionBy(*keys).orderBy(*order)
+    return (df.withColumn("_lane", lane)
+            .withColumn("_rank", F.row_number().over(lanes)).filter(F.col("_rank") <= n).drop("_lane", "_rank")
+            .withColumn("_rank", F.row_number().over(groups)).filter(F.col("_rank") <= n).drop("_rank"))
 
 
 def recent_per_project(events: DataFrame, n: int = MAX_RECENT) -> DataFrame:
-    """Every project's ``n`` newest events; a group limit below the shuffle caps what a large
-    project sends."""
-    order = Window.partitionBy("project_id").orderBy(F.col("timestamp").desc(), "id")
-    return events.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= n).drop("_rank")
+    """Every project's ``n`` newest events."""
+    return first_n_per_group(events, ["project_id"], [F.col("timestamp").desc(), F.col("id")], n)
+
+
+def recent_events(events: DataFrame, project_id: str | None, limit: int = DEFAULT_RECENT) -> DataFrame:
+    """A project's newest events (of any project: None), newest first, at most 100."""
+    n = min(limit or DEFAULT_RECENT, MAX_RECENT)
+    rows = events if project_id is None else events.filter(F.col("project_id") == project_id)
+    return recent_per_project(rows, n).orderBy(F.col("timestamp").desc(), "id").limit(n)
 
 
 def top_n(df: DataFrame, measure: str, n: int, tie: str) -> DataFrame:

@@ -7,8 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pulsegrain.operators.dedupe import one_per_key
+from pulsegrain.operators.paging import first_n_per_group
 from pulsegrain.operators.shaping import mask_pii  # noqa: F401  (the fourth privacy job)
 from pulsegrain.session import work_dir
 from pulsegrain.sources.events import read_events, write_events
@@ -20,7 +22,7 @@ USER_COLUMN = {"events": "user_id", "users": "id", "sessions": "user_id", "ai_qu
 
 
 def _ids(ids: DataFrame, name: str) -> DataFrame:
-    return ids.select(F.col("id").alias(name)).filter(F.col(name).isNotNull()).distinct()
+    return one_per_key(ids.select(F.col("id").alias(name)).filter(F.col(name).isNotNull()), name)
 
 
 def anonymize_events(events: DataFrame, ids: DataFrame) -> DataFrame:
@@ -48,12 +50,10 @@ def anonymize(events: DataFrame, users: DataFrame, ids: DataFrame) -> tuple[Data
 def export_user(events: DataFrame, users: DataFrame, ids: DataFrame, limit: int = EXPORT_LIMIT) -> DataFrame:
     """Profile and oldest ``limit`` events of each given user, one JSON row each.
 
-    The limit per user is part of the feature; a group limit below the shuffle applies it early.
+    The limit per user is part of the feature.
     """
     chosen = _ids(ids, "user_id")
-    order = Window.partitionBy("user_id").orderBy("timestamp", "id")
-    own = (events.join(chosen, "user_id", "left_semi")
-           .withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= limit).drop("_rank"))
+    own = first_n_per_group(events.join(chosen, "user_id", "left_semi"), ["user_id"], [F.col("timestamp"), F.col("id")], limit)
     options = {"ignoreNullFields": "false"}
     event_rows = own.select("user_id", F.lit("event").alias("kind"),
                             F.to_json(F.struct(*events.columns), options).alias("data"))

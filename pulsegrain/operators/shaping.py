@@ -11,6 +11,7 @@ from pulsegrain.functions import web
 from pulsegrain.functions.periods import time_bucket
 from pulsegrain.functions.props import merge_maps
 from pulsegrain.functions.text import PII_RULES, mask_rule, sanitize_text
+from pulsegrain.operators.dedupe import one_per_key
 
 # Fixed values.
 SCROLL_POINTS = (25, 50, 75, 100)
@@ -111,8 +112,8 @@ def stitch_identity(df: DataFrame) -> DataFrame:
     rows is split by Spark's skew join, which can divide the event side.
     """
     anonymous = F.col("user_id").isNull() | (F.col("user_id") == "") | F.col("user_id").startswith(ANONYMOUS_PREFIX)
-    known = (df.filter(~anonymous).groupBy("session_id")
-             .agg(F.min_by("user_id", F.struct("timestamp", "user_id")).alias("_known")))
+    known = one_per_key(df.filter(~anonymous), "session_id",
+                        F.min_by("user_id", F.struct("timestamp", "user_id")).alias("_known"))
     return (df.join(known, "session_id", "left")
             .withColumn("stitched_user_id", F.when(anonymous, F.coalesce("_known", effective_user_id()))
                         .otherwise(F.col("user_id")))

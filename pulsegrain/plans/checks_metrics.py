@@ -231,6 +231,15 @@ def _(spark, sf):
     return metrics.daily_active_users(testbed.events(spark, sf), "p0", "30d", testbed.as_of(spark, sf), exact=False)
 
 
+@check("approx_users_error", "A-16", with_views(BASE) + f"""
+SELECT {'cast(cast("timestamp" AS date) AS varchar) AS date'}, count(DISTINCT user_id) AS users, TRUE AS within_bound
+FROM base GROUP BY 1""")
+def _(spark, sf):
+    per_day = testbed.base_events(spark, sf).groupBy(F.to_date("timestamp").alias("date")).agg(
+        F.count_distinct("user_id").alias("users"), metrics.approx_users().alias("_approx"))
+    return per_day.select("date", "users", (F.abs(F.col("_approx") - F.col("users")) <= 0.1 * F.col("users")).alias("within_bound"))
+
+
 @check("sessions_with_purchase", "A-17 X-14", EV + """
 SELECT session_id, bool_or(event_name = 'purchase') AS has_event FROM ev GROUP BY 1""")
 def _(spark, sf):
@@ -294,6 +303,20 @@ def _(spark, sf):
     return rollups.active_users_from_rollup(rollups.rollup_partial(events, "daily"), "monthly")
 
 
+@check("merged_rollup_error", "A-23", with_views(BASE) + """
+SELECT project_id, cast(cast(date_trunc('month', "timestamp") AS date) AS varchar) AS period_start,
+  count(DISTINCT user_id) AS users, TRUE AS within_bound FROM base GROUP BY ALL""")
+def _(spark, sf):
+    events = testbed.base_events(spark, sf).withColumn("session_id", F.col("user_id"))
+    estimate = rollups.active_users_from_rollup(rollups.rollup_partial(events, "daily"), "monthly")
+    exact = metrics.counts_users_sessions(
+        events.select("project_id", F.trunc(F.to_date("timestamp"), "month").alias("period_start"), "user_id", "session_id"),
+        ["project_id", "period_start"])
+    return exact.join(estimate, ["project_id", "period_start"]).select(
+        "project_id", "period_start", "users",
+        (F.abs(F.col("approx_users") - F.col("users")) <= 0.05 * F.col("users")).alias("within_bound"))
+
+
 # --- users and sessions ------------------------------------------------------------------------------
 
 @check("user_profile", "A-24", with_views(BASE) + f"""

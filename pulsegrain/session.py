@@ -7,13 +7,15 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# Settings the results depend on (time zone) or the plans rely on: adaptive execution, and merging
-# session windows inside each task before the shuffle.
+# Settings the results depend on (time zone) or the plans rely on: adaptive execution, splitting
+# the partitions of hot join keys even if that costs one more shuffle, and merging session windows
+# inside each task before the shuffle.
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from pulsegrain.operators.dedupe import one_per_key
 from pulsegrain.schemas import DIMENSIONS
 
 
@@ -47,5 +48,4 @@ def resolve_fk(df: DataFrame, dim: DataFrame, on: str, value: str, alias: str) -
     Should several rows share the key, the smallest value is taken, so no row is multiplied.
     No broadcast hint: Spark broadcasts the lookup when its size allows, and joins otherwise.
     """
-    lookup = dim.groupBy(on).agg(F.min(value).alias(alias))
-    return df.join(lookup, on, "left")
+    return df.join(one_per_key(dim, on, F.min(value).alias(alias)), on, "left")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -59,8 +60,8 @@ def compact_landing(spark: SparkSession, landing: str, table: str, first: int, l
     fresh = first_per_key(landed, ["id"], [F.col("batch_id")])
     try:
         stored = read_events(spark, table)
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
             raise
         stored = None
     if stored is not None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.types import StructType
@@ -69,8 +70,8 @@ def _slot(spark: SparkSession, path: str, batch_id: int, schema: StructType) ->
     """Rows stored by exactly the given batch, None when there are none."""
     try:
         rows = spark.read.schema(schema).parquet(f"{path}/slot={batch_id % 2}")
-    except Exception as error:
-        if "PATH_NOT_FOUND" in str(error):
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
     return rows.filter(F.col("_batch") == batch_id).drop("_batch")

@@ -4,7 +4,7 @@ import datetime as dt
 
 import pytest
 
-from pulsegrain.operators import funnel, paging, retention, sessions
+from pulsegrain.operators import dedupe, funnel, paging, retention, sessions
 from pulsegrain.plans.catalog import load
 from pulsegrain.sources import testbed
 
@@ -26,8 +26,11 @@ def test_no_python_and_no_cross_products(spark, small_dir, name):
 
 
 def test_group_limit_runs_before_the_shuffle(spark, small_dir):
-    text = plan(paging.recent_per_project(testbed.base_events(spark, small_dir)))
-    assert text.count("WindowGroupLimit") == 2
+    rows = testbed.base_events(spark, small_dir)
+    # Before and after each of the two shuffles: by project and lane, then by project.
+    assert plan(paging.recent_per_project(rows)).count("WindowGroupLimit") == 4
+    deduped = plan(dedupe.dedupe_events(rows.withColumn("session_id", rows["user_id"])))
+    assert deduped.count("WindowGroupLimit") == 2
 
 
 def test_ordered_funnel_sorts_users_only_by_slices(spark, small_dir):

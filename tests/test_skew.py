@@ -72,3 +72,46 @@ def test_active_time_does_not_depend_on_the_slices(history, slice_hours):
         F.coalesce(F.sum("_s"), F.lit(0)).alias("n")).filter("n > 5")
     got = active_time(rows, slice_width=dt.timedelta(hours=slice_hours))
     assert {tuple(r) for r in plain.collect()} == {(r.session_id, r.active_seconds) for r in got.collect()}
+
+
+@pytest.fixture()
+def tiny_thresholds(spark):
+    """Sizes at which Spark treats partitions as skewed, lowered to suit test data; no broadcasts."""
+    changed = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+               "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "50k",
+               "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+               "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50k", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k, None) for k in changed}
+    for k, v in changed.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _hot(spark):
+    """200000 events, 40 percent of them of one user; half of those inside one minute."""
+    return spark.range(0, 200000, 1, 8).selectExpr(
+        "string(id) AS id", "'p' AS project_id", "if(id % 5 < 2, 'hot', concat('u', id % 997)) AS user_id",
+        "'x' AS event_name", "map('k', string(id)) AS properties",
+        "timestamp_seconds(1704067200 + if(id % 5 = 0, id % 60, id * 7)) AS timestamp")
+
+
+@pytest.mark.parametrize("job", ["with_user", "anonymize", "erase", "segment", "sessionize", "stitch", "lookup"])
+def test_hot_join_keys_are_split(spark, tiny_thresholds, job):
+    from pulsegrain.operators.filters import in_segment
+    from pulsegrain.operators.joins import with_user
+    from pulsegrain.operators.privacy import anonymize_events, erase
+    from pulsegrain.operators.shaping import stitch_identity
+    from pulsegrain.sources.dimensions import resolve_fk
+    rows = _hot(spark)
+    users = spark.range(998).selectExpr("if(id = 997, 'hot', concat('u', id)) AS id", "'s' AS segment")
+    out = {"with_user": lambda: with_user(rows, users), "anonymize": lambda: anonymize_events(rows, users.select("id")),
+           "erase": lambda: erase({"events": rows}, users.filter("id <> 'hot'").select("id"))["events"],
+           "segment": lambda: in_segment(rows, users, F.col("segment") == "s"),
+           "stitch": lambda: stitch_identity(rows.withColumn("session_id", F.col("user_id"))),
+           "lookup": lambda: resolve_fk(rows, users.withColumnRenamed("id", "user_id"), "user_id", "segment", "s"),
+           "sessionize": lambda: sessionize(rows, dt.timedelta(minutes=30))}[job]()
+    expected = 80000 if job == "erase" else 200000
+    assert len(out.collect()) == expected
+    assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
