@@ -44,7 +44,7 @@ def _rule_rows(strict: bool, id_pattern: str | None) -> list[tuple[str, Column,
     if strict:
         rules += [
             ("properties", F.size(F.map_keys(pairs)) > MAX_PROPERTIES, "Too many properties"),
-            ("properties", F.length(F.to_json(F.from_json(props, "map<string,variant>"))) > MAX_PROPERTIES_CHARS,
+            ("properties", F.length(F.to_json(pairs)) > MAX_PROPERTIES_CHARS,
              "Properties too large")]
     rules += [
         ("timestamp", F.col("timestamp").isNotNull() & parse_time("timestamp").isNull(),
@@ -62,14 +62,15 @@ def judge_events(df: DataFrame, strict: bool = False, id_pattern: str | None = N
 
     ``id_pattern="uuid"`` demands UUID user and session ids; by default any non-empty id passes.
     ``strict`` adds the rules on name format, number of properties and their serialized size.
+    The typed properties and the verdict come out of generators of one row each, so that a filter
+    on the verdict does not copy all rules, and the parsing they need, below itself.
     """
     pattern = UUID_PATTERN if id_pattern == "uuid" else id_pattern
     verdict = F.lit(None).cast("struct<field:string,error:string>")
     for field, violated, message in reversed(_rule_rows(strict, pattern)):
         verdict = F.when(violated, F.struct(F.lit(field).alias("field"), F.lit(message).alias("error"))).otherwise(verdict)
-    judged = (df.withColumn("_typed", F.from_json("properties", "map<string,variant>"))
-              .withColumn("_verdict", verdict))
-    return judged.select(*df.columns, F.col("_verdict.field").alias("field"), F.col("_verdict.error").alias("error"))
+    typed = df.select("*", F.explode(F.array(F.from_json("properties", "map<string,variant>"))).alias("_typed"))
+    return typed.select(*df.columns, F.inline(F.array(verdict)))
 
 
 def validate_events(df: DataFrame, strict: bool = False, id_pattern: str | None = None,

@@ -30,9 +30,13 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_events(df: DataFrame, col: str = "value") -> DataFrame:
-    """Parse a text column holding one event per row; other columns are kept."""
+    """Parse a text column holding one event per row; other columns are kept.
+
+    The parsed fields come out of a generator, as one row: filters on them then stay above it, and
+    the text is parsed once per row rather than once per use of a field.
+    """
     keep = [c for c in df.columns if c != col]
-    return unify_spelling(df.select(*keep, F.from_json(col, RAW_EVENT).alias("_e")).select(*keep, "_e.*"))
+    return unify_spelling(df.select(*keep, F.inline(F.array(F.from_json(col, RAW_EVENT)))))
 
 
 def explode_batches(df: DataFrame, col: str = "value", max_batch: int = MAX_BATCH) -> tuple[DataFrame, DataFrame]:
