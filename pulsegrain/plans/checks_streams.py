@@ -26,17 +26,25 @@ def _replay(spark, rows: DataFrame) -> DataFrame:
     return stream_events(spark, path, 2, rows.schema)
 
 
-def _drain(writer) -> None:
-    writer.trigger(availableNow=True).start().awaitTermination()
+def _drain(spark, writer) -> None:
+    """Run a stream over all waiting data. Its state is divided by the session's cores, as every
+    state partition costs a file per micro-batch."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(spark.sparkContext.defaultParallelism))
+    try:
+        writer.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(key, before)
 
 
 def _collect(spark, stream: DataFrame, mode: str) -> DataFrame:
     """Run a stream over all waiting data; ``complete`` keeps the final state of its groups."""
     out, checkpoint = work_dir(spark, "out"), work_dir(spark, "offsets")
     if mode == "append":
-        _drain(stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint))
+        _drain(spark, stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint))
     else:
-        _drain(stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
+        _drain(spark, stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
                .foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)))
     return spark.read.schema(stream.schema).parquet(out)
 
@@ -50,7 +58,7 @@ def _(spark, sf):
     (testbed.raw_json(spark, sf).repartition(4).write.parquet(source))
     raw = parse_events(spark.readStream.schema("id string, value string").option("maxFilesPerTrigger", 2).parquet(source))
     raw = raw.withColumn("api_key", F.concat(F.lit("key_"), F.col("user_id")))
-    _drain(ingest.stream_ingest(raw, testbed.api_keys(spark, sf), testbed.projects(spark, sf), landing,
+    _drain(spark, ingest.stream_ingest(raw, testbed.api_keys(spark, sf), testbed.projects(spark, sf), landing,
                                 work_dir(spark, "rejected"), work_dir(spark, "offsets"), testbed.KEY_AS_OF))
     return spark.read.parquet(landing).groupBy("project_id", "user_id", "event_name", "platform").agg(
         F.count("*").alias("events"))
@@ -99,7 +107,7 @@ QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY "timestamp" DESC, id
 def _(spark, sf):
     path = work_dir(spark, "recent")
     rows = testbed.base_events(spark, sf).select("project_id", "id", "timestamp", "event_name")
-    _drain(live.stream_recent(_replay(spark, rows), path, work_dir(spark, "offsets"), keep=dt.timedelta(hours=12)))
+    _drain(spark, live.stream_recent(_replay(spark, rows), path, work_dir(spark, "offsets"), keep=dt.timedelta(hours=12)))
     return live.read_recent(spark, path).select("project_id", "id")
 
 
@@ -108,7 +116,7 @@ SELECT project_id, cast(cast("timestamp" AS date) AS varchar) AS date, count(*)
 def _(spark, sf):
     path = work_dir(spark, "rollup")
     rows = testbed.base_events(spark, sf).withColumn("session_id", F.col("user_id"))
-    _drain(rollups.stream_rollup(_replay(spark, rows), "daily", path, work_dir(spark, "offsets")))
+    _drain(spark, rollups.stream_rollup(_replay(spark, rows), "daily", path, work_dir(spark, "offsets")))
     return rollups.read_rollup(spark, path, "daily").select("project_id", "date", "total_events")
 
 
@@ -117,7 +125,7 @@ SELECT session_id, {TS.format('min("timestamp")')} AS session_start, {TS.format(
   count(*) AS events_count FROM ev GROUP BY session_id""")
 def _(spark, sf):
     path = work_dir(spark, "rollup")
-    _drain(rollups.stream_rollup(_replay(spark, testbed.events(spark, sf)), "sessions", path, work_dir(spark, "offsets")))
+    _drain(spark, rollups.stream_rollup(_replay(spark, testbed.events(spark, sf)), "sessions", path, work_dir(spark, "offsets")))
     return rollups.read_rollup(spark, path, "sessions").select("session_id", "session_start", "session_end", "events_count")
 
 
