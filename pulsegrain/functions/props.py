@@ -28,4 +28,4 @@ def merge_maps(defaults: Column, own: Column) -> Column:
 
 def props_key(col: str = "properties") -> Column:
     """Canonical text of a property map: equal maps give equal text whatever their key order."""
-    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(col))))
+    return F.to_json(F.map_from_entries(F.sort_array(F.map_entries(col))))
