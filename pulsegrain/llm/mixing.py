@@ -6,8 +6,8 @@ has, and what is over goes to the other sources by weight, until none is above.
 ``e = r * (1 + spread * (w / mean(w) - 1))`` with ``r = target / words`` and ``w = ceil(sqrt(size))``, the mean weighted
 by size, and ``spread`` as large as keeps every ``e`` within 0 and ``most``. The whole part of ``e`` is
 taken for certain. The rest ``p = e - floor(e)`` is a Pareto sample: documents are ranked by
-``(u / (1 - u)) / (p / (1 - p))`` with ``u`` from a keyed digest of the id, and taken in that order until the words
-left of the target are filled; the last one only where that ends nearer to the target.
+``(u / (1 - u)) / (p / (1 - p))`` with ``u`` from a keyed digest of the id, and taken in that order while they fit into
+the words left of the target; then the one document that comes nearest to what is missing is added.
 
 The ranks are cut without sorting a source: words are summed over ``BINS`` slices of the rank scale in the map tasks,
 and only the slice in which the target is reached is put in order.
@@ -108,21 +108,29 @@ def with_copies(docs: DataFrame, names: dict[str, str], doc_id: str = "doc_id",
     edge = (ranked.where("rank <= 1").withColumn("slice", bin_of).join(needs, F.expr("src <=> of and slice = at"))
             .groupBy("src", "rank", "need").agg(F.sum("size").alias("size"))
             .withColumn("filled", F.expr("sum(size) over (partition by src order by rank rows unbounded preceding)")))
-    fits = (F.col("filled") <= F.col("need")) | ((F.col("filled") - F.col("need")) < (F.col("need") - (F.col("filled") - F.col("size"))))
-    exact = {r.src: r.cut for r in edge.where(fits).groupBy("src").agg(F.max("rank").alias("cut")).collect()}
+    last = {r.src: r for r in edge.where("filled <= need").groupBy("src").agg(F.max("rank").alias("cut"), F.max("filled").alias("filled")).collect()}
     left = {r.of: r.rest for r in rest.collect()}
 
     def cut(s) -> float:
-        if s in cuts:  # the last one taken in the slice, or all before the slice
-            return exact.get(s, math.nextafter(cuts[s][0] / BINS, -1.0))
+        if s in cuts:  # the last document of the slice that still fits, or all before the slice
+            return last[s].cut if s in last else math.nextafter(cuts[s][0] / BINS, -1.0)
         return -1.0 if left.get(s, 0.0) <= 0 else 1.0
 
+    # What is missing then is filled by the one document beyond the cut that comes nearest to it, if any does.
+    gaps = [(s, cut(s), float(need - (last[s].filled if s in last else 0))) for s, (_, need) in cuts.items()]
+    off = F.abs(F.col("size") - F.col("gap"))
+    nearest = (ranked.where("rank <= 1").join(spark.createDataFrame(gaps, f"of {kind}, cut double, gap double"), F.expr("src <=> of and rank > cut"))
+               .where(off < F.col("gap")).groupBy("src").agg(F.min(F.struct(off.alias("off"), "rank")).alias("best")).collect())
+    extra_rank = {r.src: r.best.rank for r in nearest}
+
     # The facts hold one row a source, at most MOST_SOURCES; Spark broadcasts them only below its threshold.
-    final = spark.createDataFrame([(*f, cut(f[0])) for f in facts], f"src {kind}, {FACTS}, cut double")
+    final = spark.createDataFrame([(*f, cut(f[0]), extra_rank.get(f[0], -1.0)) for f in facts],
+                                  f"src {kind}, {FACTS}, cut double, extra double")
     row, fact, n = fresh(docs, "_doc"), fresh(docs, "_fact"), fresh(docs, "_size")
     held = docs.withColumn(n, size_of).select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(row), F.col(n))
     joined = held.join(final, F.col(f"{row}.`{source}`").eqNullSafe(final["src"]))
-    copies = F.floor(expected(F.col(n))) + F.when(rank(F.col(f"{row}.`{doc_id}`"), F.col(n)) <= F.col("cut"), 1).otherwise(0)
+    own = rank(F.col(f"{row}.`{doc_id}`"), F.col(n))
+    copies = F.floor(expected(F.col(n))) + F.when((own <= F.col("cut")) | (own == F.col("extra")), 1).otherwise(0)
     extra = {"size": F.col(n), "source_size": F.col("source_size"), "target": F.col("target"), "copies": copies.cast("bigint")}
     return joined.select(*(F.col(f"{row}.`{c}`").alias(c) for c in docs.columns), *(v.alias(names[k]) for k, v in extra.items()))
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pulsegrain.llm import decontaminate, exact_dedup, mixing, url_filter
+from pulsegrain.llm import decontaminate, exact_dedup, mixing, near_dup, secret_scan, token_count, url_filter
 from pulsegrain.llm.common import table
 from pulsegrain.session import work_dir
 
@@ -97,3 +97,31 @@ ORACLE["op8_exact_dedup"] = """
 select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
   doc_id = max(doc_id) over same as kept, sha256(coalesce(text, '')) as text_sha256
 from documents window same as (partition by coalesce(text, ''))"""
+
+
+@query
+def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = near_dup.classes(docs, near_dup.Settings(words=2))
+    return out.select("row.doc_id", "n_shingles", "component_id", F.col("row.doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def joined_spans(spans: str, *kinds: str):
+    """kind:start:end of the spans (of some kinds), comma-joined."""
+    chosen = F.filter(spans, lambda s: s["kind"].isin(*kinds)) if kinds else F.col(spans)
+    return F.array_join(F.transform(chosen, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+@query
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = secret_scan.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = [r.kind for r in secret_scan.BASE]
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return docs.select("doc_id", *(count(k) for k in base), F.sha2(joined_spans("spans", *base), 256).alias("base_sha256"),
+                       joined_spans("spans").alias("spans"))
+
+
+@query
+def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_count.count_tokens(docs, token_count.load_pieces()).select("doc_id", F.length("text").cast("bigint").alias("n_chars"), "n_tokens")
