@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pulsegrain.llm import decontaminate, exact_dedup, mixing, near_dup, secret_scan, token_count, url_filter
-from pulsegrain.llm.common import table
+from pulsegrain.llm import (decontaminate, exact_dedup, language_id, mixing, near_dup, secret_scan, token_count, toxicity,
+                            training_order, url_filter)
+from pulsegrain.llm.common import crc_mod, table
 from pulsegrain.session import work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +126,30 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_count.count_tokens(docs, token_count.load_pieces()).select("doc_id", F.length("text").cast("bigint").alias("n_chars"), "n_tokens")
+
+
+def held_out(divisor: int, remainder: int, doc_id: str = "doc_id"):
+    """Rows that nothing is learned from; a NULL id is not held out, and the operators do not learn from it either."""
+    return F.coalesce(crc_mod(F.col(doc_id), divisor) == remainder, F.lit(False))
+
+
+@query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.learn(docs.where(~held_out(4, 2)))
+    out = language_id.predict(docs.drop("lang"), model)
+    return out.select("doc_id", held_out(4, 2).alias("held_out"), F.col("predicted.lang").alias("lang_pred"), "predicted.score")
+
+
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    out = toxicity.score(docs, labels, ~held_out(5, 0, "id"), held_out(5, 4, "id"))
+    return out.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return training_order.materialise(docs, work_dir(spark, "shards"))
