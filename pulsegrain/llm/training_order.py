@@ -1,7 +1,8 @@
 """Token sequences in training order, as binary shards of fixed-stride records.
 
-1. ``tokenise``: each document becomes token ids and an end mark, cut into sequences of ``length`` ids. Ids are
-   written to the shared folder with the task that made them and the running number of their sequences there.
+1. ``tokenise``: each document becomes token ids and an end mark; a task puts its documents one behind the other and cuts
+   them into sequences of ``length`` ids, of which only its last one is filled up. They are written to the shared
+   folder with the task and their number there.
 2. With the sequence counts of the tasks (one row a task), every sequence has a number below the total ``n``. A keyed
    Feistel permutation over the next even power of two, walked until it falls below ``n`` again, gives its global slot.
 3. Slots are dealt by range: shard ``k`` holds the slots from ``k * per_shard``. Map tasks bundle what goes to one shard
@@ -12,8 +13,8 @@ A record is ``length`` little-endian uint16 ids, filled up with the end mark; it
 slot, so reading can resume anywhere (``read_from``). Shard files need a store that pyarrow can write (local or mounted,
 S3, GCS, HDFS). Slots depend on the key and on how the input is split into tasks.
 
-Defined cases: NULL and empty texts are one sequence holding the end mark. Ids may be NULL or repeat. Long
-texts give many sequences. An empty table gives no shard and an empty index.
+Defined cases: NULL and empty texts are one end mark. Ids may be NULL or repeat. Long texts reach over many
+sequences. An empty table gives no shard and an empty index.
 """
 
 from __future__ import annotations
@@ -73,7 +74,7 @@ def permute(numbers: np.ndarray, n: int, key: str, rounds: int = 6) -> np.ndarra
 
 
 def tokenise(docs: DataFrame, layout: Layout, ranks: dict[bytes, int], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(task, first, doc_id, n_tokens, ids), written: ``first`` counts the sequences of the task before the row's."""
+    """(task, number, doc_ids, n_tokens, ids), written: one row a sequence, numbered within its task."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)  # a vocabulary, whatever the documents
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -82,19 +83,41 @@ def tokenise(docs: DataFrame, layout: Layout, ranks: dict[bytes, int], doc_id: s
         import tiktoken
         from pyspark import TaskContext
         coder = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=shared.value, special_tokens={})
-        task, seen = TaskContext.get().partitionId(), 0
+        task, done = TaskContext.get().partitionId(), 0
+        rest, names = np.zeros(0, "<u2"), None  # ids that fill no record yet, and their documents with the places of their ids
+
+        def records(stream: np.ndarray, owners: pa.Array, starts: np.ndarray, used: int) -> pa.RecordBatch:
+            begin = np.arange(0, used, layout.length)
+            first = np.searchsorted(starts, begin, "right") - 1
+            last = np.searchsorted(starts, np.minimum(begin + layout.length, len(stream)) - 1, "right") - 1
+            count = last - first + 1
+            rows = np.arange(count.sum()) + np.repeat(first - (np.cumsum(count) - count), count)
+            docs = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), owners.take(pa.array(rows)))
+            held = np.minimum(len(stream) - begin, layout.length)
+            full = np.full(len(begin) * layout.length, layout.end, "<u2")
+            full[:min(used, len(stream))] = stream[:used]
+            ids = pa.array([r.tobytes() for r in full.reshape(-1, layout.length)], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([task] * len(begin), pa.int32()), pa.array(done + np.arange(len(begin)), pa.int64()),
+                                               docs, pa.array(held, pa.int64()), ids], names=["task", "number", "doc_ids", "n_tokens", "ids"])
+
         for batch in batches:
             ids = [np.array([*coder.encode_ordinary(t.as_py() or ""), layout.end], "<u2") for t in batch.column("text")]
-            counts = np.array([-(-len(x) // layout.length) for x in ids], np.int64)
-            first = seen + np.cumsum(counts) - counts
-            seen += int(counts.sum())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([task] * len(ids), pa.int32()), pa.array(first, pa.int64()), batch.column("doc_id"),
-                 pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())],
-                names=["task", "first", "doc_id", "n_tokens", "ids"])
-
-    made = rows.mapInArrow(encode, f"task int, first bigint, doc_id {kind}, n_tokens bigint, ids binary")
-    return staged(docs.sparkSession, made, "token-ids", compression="zstd")
+            starts = np.cumsum([0, *map(len, ids)])[:-1] + len(rest)
+            owners = batch.column("doc_id")
+            if names is not None:
+                owners, starts = pa.concat_arrays([names[0], owners]), np.concatenate([names[1], starts])
+            stream = np.concatenate([rest, *ids])
+            used = len(stream) // layout.length * layout.length
+            if used:
+                yield records(stream, owners, starts, used)
+            done += used // layout.length
+            keep = max(0, int(np.searchsorted(starts, used, "right")) - 1)
+            rest, names = stream[used:], (owners.slice(keep), np.maximum(starts[keep:] - used, 0)) if len(stream) > used else None
+        if names is not None:
+            yield records(rest, *names, layout.length)
+
+    made = rows.mapInArrow(encode, f"task int, number bigint, doc_ids array<{kind}>, n_tokens bigint, ids binary")
+    return staged(docs.sparkSession, made, "token-ids", compression="zstd", **{"parquet.compression.codec.zstd.level": "6"})
 
 
 def _bundles(tokens: DataFrame, layout: Layout, tasks: np.ndarray, offsets: np.ndarray, n: int) -> DataFrame:
@@ -104,34 +127,23 @@ def _bundles(tokens: DataFrame, layout: Layout, tasks: np.ndarray, offsets: np.n
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tasks, offsets = shared.value
         for batch in batches:
-            sizes = np.array(batch.column("n_tokens"), np.int64)
-            counts = -(-sizes // layout.length)
-            row = np.repeat(np.arange(len(sizes)), counts)
-            part = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            base = offsets[np.searchsorted(tasks, np.array(batch.column("task")))] + np.array(batch.column("first"), np.int64)
-            slot = permute(base[row] + part, n, layout.key)
-            held = np.minimum(sizes[row] - part * layout.length, layout.length)
-            records = np.full((len(slot), layout.length), layout.end, "<u2")
-            ids = batch.column("ids")
-            at = 0
-            for i, count in enumerate(counts):
-                records[at:at + count].reshape(-1)[:sizes[i]] = np.frombuffer(ids[i].as_buffer(), "<u2")
-                at += count
+            base = offsets[np.searchsorted(tasks, np.array(batch.column("task")))]
+            slot = permute(base + np.array(batch.column("number"), np.int64), n, layout.key)
+            ids = batch.column("ids").cast(pa.binary(layout.stride))
             shard = slot // layout.per_shard
             order = np.argsort(shard, kind="stable")
             edges = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1))
             names, blobs = [], []
             for a, b in zip(edges[:-1], edges[1:]):
                 of = order[a:b]
-                rows = pa.RecordBatch.from_arrays(
-                    [pa.array(slot[of]), batch.column("doc_id").take(pa.array(row[of])), pa.array(part[of]), pa.array(held[of]),
-                     pa.FixedSizeBinaryArray.from_buffers(pa.binary(layout.stride), len(of), [None, pa.py_buffer(records[of].tobytes())])],
-                    names=["slot", "doc_id", "seq_no", "n_tokens", "record"])
+                at = pa.array(of)
+                rows = pa.RecordBatch.from_arrays([pa.array(slot[of]), batch.column("doc_ids").take(at), batch.column("n_tokens").take(at), ids.take(at)],
+                                                  names=["slot", "doc_ids", "n_tokens", "record"])
                 sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
                     out.write_batch(rows)
-                names.append(int(shard[of[0]]))
                 blobs.append(sink.getvalue().to_pybytes())
+                names.append(int(shard[of[0]]))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], names=["shard", "bundle"])
 
     return tokens.mapInArrow(bundle, "shard int, bundle binary")
@@ -139,11 +151,11 @@ def _bundles(tokens: DataFrame, layout: Layout, tasks: np.ndarray, offsets: np.n
 
 def materialise(docs: DataFrame, folder: str, layout: Layout = Layout(), ranks: dict[bytes, int] | None = None, **columns: str) -> DataFrame:
     """Write the shards and a manifest to ``folder``; returns the written index, one row a sequence:
-    (slot, shard, place, doc_id, seq_no, n_tokens, crc), ``n_tokens`` without filling, ``crc`` of the record."""
+    (slot, shard, place, doc_ids, n_tokens, crc), ``doc_ids`` in the order of their ids, ``n_tokens`` without filling, ``crc`` of the record."""
     spark = docs.sparkSession
     tokens = tokenise(docs, layout, ranks or load_ranks(), **columns)
-    kind = tokens.schema["doc_id"].dataType.simpleString()
-    per_task = tokens.groupBy("task").agg(F.sum(F.ceil(F.col("n_tokens") / layout.length)).alias("n")).orderBy("task").collect()
+    kind = tokens.schema["doc_ids"].dataType.simpleString()
+    per_task = tokens.groupBy("task").agg(F.count(F.lit(1)).alias("n")).orderBy("task").collect()
     counts = np.array([r.n for r in per_task], np.int64)
     n = int(counts.sum())
     shards = -(-n // layout.per_shard)
@@ -151,7 +163,7 @@ def materialise(docs: DataFrame, folder: str, layout: Layout = Layout(), ranks:
     store.create_dir(root, recursive=True)
     with store.open_output_stream(f"{root}/manifest.json") as out:
         out.write(json.dumps({**asdict(layout), "sequences": n, "shards": shards, "type": "uint16 little-endian"}).encode())
-    schema = f"slot bigint, shard int, place int, doc_id {kind}, seq_no bigint, n_tokens bigint, crc bigint"
+    schema = f"slot bigint, shard int, place int, doc_ids {kind}, n_tokens bigint, crc bigint"
     if not n:
         return spark.createDataFrame([], schema)
     bundles = _bundles(tokens, layout, np.array([r.task for r in per_task]), np.cumsum(counts) - counts, n)
@@ -178,9 +190,9 @@ def materialise(docs: DataFrame, folder: str, layout: Layout = Layout(), ranks:
         for part in rows.drop_columns(["record"]).to_batches(10_000):
             at = np.array(part.column("slot"), np.int64) - shard * layout.per_shard
             yield pa.RecordBatch.from_arrays(
-                [part.column("slot"), pa.array([shard] * len(at), pa.int32()), pa.array(at, pa.int32()), part.column("doc_id"),
-                 part.column("seq_no"), part.column("n_tokens"), pa.array([zlib.crc32(records[i]) for i in at], pa.int64())],
-                names=["slot", "shard", "place", "doc_id", "seq_no", "n_tokens", "crc"])
+                [part.column("slot"), pa.array([shard] * len(at), pa.int32()), pa.array(at, pa.int32()), part.column("doc_ids"),
+                 part.column("n_tokens"), pa.array([zlib.crc32(records[i]) for i in at], pa.int64())],
+                names=["slot", "shard", "place", "doc_ids", "n_tokens", "crc"])
 
     placed = bundles.repartitionById(shards, F.col("shard"))
     return staged(spark, placed.mapInArrow(write, schema), "training-order")
