@@ -20,7 +20,7 @@ def staged(spark: SparkSession, df: DataFrame, name: str, **options: str) -> Dat
     """Write ``df`` to the shared folder and read it back: later jobs neither recompute it nor lose it
     with an executor."""
     path = work_dir(spark, name)
-    df.write.parquet(path, **options)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,7 +2,7 @@
 
 1. One pass over the texts makes, per row, the set of its word shingles (64-bit hashes), a 128-bit digest of the set,
    a MinHash signature and its band keys. Rows with equal sets are one node from here on.
-2. In each band bucket the first node is compared with the others (a star, not all pairs). A candidate pair
+2. In each band bucket one node is compared with the others (a star, not all pairs). A candidate pair
    brings its signatures, which are compared in batches: after each batch the number of equal values tells how likely
    a similarity of at least the threshold still is (uniform prior); below ``miss`` the pair is dropped. Survivors are
    confirmed on their full shingle sets, made again from the texts.
@@ -90,15 +90,15 @@ class Signer:
             return {"n": 0, "digest": None, "signature": None, "bands": []}
         low = np.full(len(self.factor), 0xFFFFFFFF, np.uint32)
         folded = (shingles >> np.uint64(32)).astype(np.uint32)
-        for i in range(0, len(folded), 2048):  # long texts in slices: bounded memory
-            np.minimum(low, (self.factor[:, None] * folded[None, i:i + 2048] + self.shift[:, None]).min(axis=1), out=low)
+        for i in range(0, len(folded), 256):  # in slices that stay in the cache, for texts of any length
+            np.minimum(low, (self.factor[:, None] * folded[None, i:i + 256] + self.shift[:, None]).min(axis=1), out=low)
         rows = low.reshape(self.settings.bands, self.settings.rows).astype(np.uint64) + np.uint64(1)
         keys = np.arange(1, self.settings.bands + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         for j in range(self.settings.rows):
             keys = (keys ^ rows[:, j]) * self.band[j]
             keys ^= keys >> np.uint64(32)
         return {"n": len(shingles), "digest": xxhash.xxh3_128_digest(shingles.tobytes()),
-                "signature": (low >> np.uint32(16)).astype(np.uint16).tobytes(), "bands": keys.view(np.int64)}
+                "signature": (low >> np.uint32(24)).astype(np.uint8).tobytes(), "bands": keys.view(np.int64)}
 
 
 def least_matches(s: Settings) -> list[tuple[int, int]]:
@@ -134,7 +134,7 @@ def _likely_udf(s: Settings):
     steps = least_matches(s)
 
     def likely(left: pa.Array, right: pa.Array) -> pa.Array:
-        a, b = (np.frombuffer(b"".join(x.to_pylist()), np.uint16).reshape(len(x), -1) for x in (left, right))
+        a, b = (np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(len(x), -1) for x in (left, right))
         alive, equal, done = np.arange(len(a)), np.zeros(len(a), np.int64), 0
         for n, least in steps:
             equal[alive] += (a[alive, done:n] == b[alive, done:n]).sum(axis=1)
@@ -163,47 +163,64 @@ def _similar_udf(s: Settings):
     return F.arrow_udf(similar, "boolean")
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, s: Settings, text: Column) -> DataFrame:
+def _sized(a: str, b: str, s: Settings) -> Column:
+    """Sets of these sizes can reach the threshold."""
+    return F.expr(f"100 * least({a}, {b}) >= {s.percent} * greatest({a}, {b})")
+
+
+def _confirmed(pairs: DataFrame, base: DataFrame, s: Settings, text: Column) -> DataFrame:
     """The pairs (a, b) that are links: signatures first, then whole texts of what survives."""
     spark = pairs.sparkSession
-    sides = [nodes.select(F.col("uid").alias(x), F.col("n").alias(f"n{x}"), F.col("signature").alias(f"s{x}")) for x in "ab"]
-    near = pairs.join(sides[1], "b").join(sides[0], "a").where(100 * F.least("na", "nb") >= s.percent * F.greatest("na", "nb"))
+    sides = [base.select(F.col("uid").alias(x), F.col("signature").alias(f"s{x}")) for x in "ab"]
+    near = pairs.join(sides[1], "b").join(sides[0], "a")
     likely = staged(spark, near.where(_likely_udf(s)(F.col("sa"), F.col("sb"))).select("a", "b"), "likely-pairs")
-    texts = [nodes.select(F.col("uid").alias(x), text.alias(f"t{x}")) for x in "ab"]
+    # Only texts of surviving pairs take part in the joins to come.
+    wanted = likely.select(F.col("a").alias("uid")).union(likely.select("b")).distinct()
+    bodies = staged(spark, base.select("uid", text.alias("body")).join(wanted, "uid", "left_semi"), "likely-texts", compression="zstd")
+    texts = [bodies.select(F.col("uid").alias(x), F.col("body").alias(f"t{x}")) for x in "ab"]
     both = likely.join(texts[1], "b").join(texts[0], "a")
     return staged(spark, both.where(_similar_udf(s)(F.col("ta"), F.col("tb"))).select("a", "b"), "links")
 
 
-def _stars(keys: DataFrame) -> DataFrame:
-    """(a, b): the first node of each bucket with each other one."""
-    first = keys.groupBy("key").agg(F.min("uid").alias("a"), F.max("uid").alias("last")).where("a != last").select("key", "a")
-    first = staged(keys.sparkSession, first, "bucket-centres")
-    return keys.join(first, "key").where("uid != a").select("a", F.col("uid").alias("b")).distinct()
+def _open_buckets(keys: DataFrame) -> DataFrame:
+    """Rows (key, uid, size, centre) of the buckets with two nodes or more. Each bucket's centre is the node whose number,
+    xor the key, is least: another one in each bucket, so that a node meets many members of a large group."""
+    mixed = F.col("uid").bitwiseXOR(F.col("key"))
+    first = keys.groupBy(F.col("key").alias("k")).agg(F.min(mixed).alias("low"), F.max(mixed).alias("high")).where("low != high")
+    first = staged(keys.sparkSession, first.select("k", F.col("low").bitwiseXOR(F.col("k")).alias("centre")), "bucket-centres")
+    return staged(keys.sparkSession, keys.join(first, F.col("key") == F.col("k")).drop("k"), "open-buckets")
+
 
+def _stars(open_: DataFrame, s: Settings) -> DataFrame:
+    """(a, b): the centre of each bucket with each other node whose set can be similar."""
+    centres = open_.where("uid = centre").select(F.col("key").alias("k"), F.col("n").alias("m"))
+    centres = staged(open_.sparkSession, centres, "centre-sizes")
+    pairs = open_.where("uid != centre").join(centres, F.col("key") == F.col("k")).where(_sized("n", "m", s))
+    return pairs.select(F.least("centre", "uid").alias("a"), F.greatest("centre", "uid").alias("b")).distinct()
 
-def _rest(keys: DataFrame, nodes: DataFrame, member: DataFrame, s: Settings) -> DataFrame:
+
+def _rest(open_: DataFrame, base: DataFrame, member: DataFrame, s: Settings) -> DataFrame:
     """(a, b) of one bucket, in different components, not both in the bucket's largest one."""
-    spark = keys.sparkSession
-    # The smallest and largest component number of a bucket differ where it holds several.
-    placed = keys.join(member, F.col("uid") == F.col("node"), "left").select("key", "uid", F.coalesce("component", "uid").alias("component"))
+    spark = open_.sparkSession
+    placed = open_.join(member, F.col("uid") == F.col("node"), "left").select("key", "uid", "n", F.coalesce("component", "uid").alias("component"))
     placed = staged(spark, placed, "placed")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low != high")
-    mixed = staged(spark, mixed.select("key", "size"), "open-buckets")
-    rows = staged(spark, placed.join(mixed, "key"), "open-rows")
-
-    big = rows.where(F.col("size") > s.large)
-    second = nodes.select(F.col("uid").alias("id"), F.explode("bands").alias("other"))
-    split = (big.join(second, F.expr("uid = id and other != key"))
-             .select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "uid", "component").distinct())
-    rows = rows.where(F.col("size") <= s.large).select("key", "uid", "component").union(split)
+    # The smallest and largest component number of a bucket differ where it holds several.
+    mixed = placed.groupBy(F.col("key").alias("k")).agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low != high")
+    mixed = staged(spark, mixed.select("k", "size"), "mixed-buckets")
+    rows = staged(spark, placed.join(mixed, F.col("key") == F.col("k")).drop("k"), "mixed-rows")
+
+    second = base.select(F.col("uid").alias("id"), F.explode("bands").alias("other"))
+    split = (rows.where(F.col("size") > s.large).join(second, F.expr("uid = id and other != key"))
+             .select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "uid", "n", "component").distinct())
+    rows = rows.where(F.col("size") <= s.large).select("key", "uid", "n", "component").union(split)
     rows = staged(spark, rows, "bucket-rows")
-    sizes = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    top = sizes.groupBy(F.col("key").alias("k")).agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    sizes = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("members"))
+    top = sizes.groupBy(F.col("key").alias("k")).agg(F.max(F.struct("members", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     top = staged(spark, top.select("k", F.col("top.component").alias("largest")), "largest-components")
-    marked = staged(spark, rows.join(top, F.col("key") == F.col("k")).select("key", "uid", "component", "largest"), "marked-rows")
-    outside = marked.where("component != largest").select("key", F.col("uid").alias("x"), F.col("component").alias("cx"))
-    inside = marked.select("key", F.col("uid").alias("y"), F.col("component").alias("cy"))
-    pairs = outside.join(inside, "key").where("cx != cy")
+    marked = staged(spark, rows.join(top, F.col("key") == F.col("k")).drop("k"), "marked-rows")
+    outside = marked.where("component != largest").select("key", F.col("uid").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"))
+    inside = marked.select(F.col("key").alias("k"), F.col("uid").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"))
+    pairs = outside.join(inside, F.expr("key = k and cx != cy") & _sized("nx", "ny", s))
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -214,24 +231,24 @@ def classes(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     signed = rows.withColumn("made", _sign_udf(s)(F.col(f"row.`{text}`")))
     # The number of a row is fixed by writing it.
-    base = staged(spark, signed.select("row", "made.*", F.monotonically_increasing_id().alias("uid")), "signed")
+    base = staged(spark, signed.select("row", "made.*", F.monotonically_increasing_id().alias("uid")), "signed", compression="zstd")
     body, own_id = F.col(f"row.`{text}`"), F.col(f"row.`{doc_id}`")
     order = F.struct(own_id.isNull().alias("no_id"), own_id.alias("id"), F.col("uid"))
     sets = staged(spark, base.where("n > 0").groupBy("digest", "n").agg(F.min("uid").alias("node"), F.min(order).alias("first")), "sets")
-    nodes = base.join(sets.select(F.col("node").alias("uid")), "uid", "left_semi")
-    keys = staged(spark, nodes.select("uid", F.explode("bands").alias("key")), "band-keys")
+    nodes = base.select("uid", "n", "bands").join(sets.select(F.col("node").alias("uid")), "uid", "left_semi")
+    buckets = _open_buckets(staged(spark, nodes.select("uid", "n", F.explode("bands").alias("key")), "band-keys"))
 
-    pairs = staged(spark, _stars(keys), "star-pairs")
-    links = _confirmed(pairs, nodes, s, body)
+    pairs = staged(spark, _stars(buckets, s), "star-pairs")
+    links = _confirmed(pairs, base, s, body)
     member = staged(spark, components(links), "components")
-    more = staged(spark, _rest(keys, nodes, member, s).join(pairs, ["a", "b"], "left_anti"), "rest-pairs")
+    more = staged(spark, _rest(buckets, base, member, s).join(pairs, ["a", "b"], "left_anti"), "rest-pairs")
     if more.limit(1).count():
-        links = links.union(_confirmed(more, nodes, s, body))
+        links = links.union(_confirmed(more, base, s, body))
         member = staged(spark, components(links), "components")
 
     placed = sets.join(member, "node", "left").select("digest", F.col("n").alias("size"), "first", F.coalesce("component", "node").alias("component"))
     placed = staged(spark, placed, "placed-sets")
-    named = placed.groupBy(F.col("component").alias("of")).agg(F.min("first").alias("keep"))
+    named = staged(spark, placed.groupBy(F.col("component").alias("of")).agg(F.min("first").alias("keep")), "kept-rows")
     # Written, so that the last join meets plain tables and can split the rows of a hot set.
     fate = staged(spark, placed.join(named, F.col("component") == F.col("of")).select(F.col("digest").alias("set"), "size", "keep"), "fates")
     out = base.select("row", "n", "digest", "uid").join(fate, F.expr("digest = set and n = size"), "left")

@@ -38,6 +38,9 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+BUNDLED = 1 << 16  # records that a map task holds at a time
+
+
 @dataclass(frozen=True)
 class Layout:
     length: int = 256  # ids in a record
@@ -120,13 +123,26 @@ def tokenise(docs: DataFrame, layout: Layout, ranks: dict[bytes, int], doc_id: s
     return staged(docs.sparkSession, made, "token-ids", compression="zstd", **{"parquet.compression.codec.zstd.level": "6"})
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``rows``: larger bundles compress better."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _bundles(tokens: DataFrame, layout: Layout, tasks: np.ndarray, offsets: np.ndarray, n: int) -> DataFrame:
     """(shard, bundle): compressed records of one batch that go to one shard."""
     shared = tokens.sparkSession.sparkContext.broadcast((tasks, offsets))  # 16 bytes for each input task
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tasks, offsets = shared.value
-        for batch in batches:
+        for batch in gathered(batches, BUNDLED):
             base = offsets[np.searchsorted(tasks, np.array(batch.column("task")))]
             slot = permute(base + np.array(batch.column("number"), np.int64), n, layout.key)
             ids = batch.column("ids").cast(pa.binary(layout.stride))
