@@ -84,7 +84,11 @@ def validate_events(df: DataFrame, strict: bool = False, id_pattern: str | None
     judged = judge_events(df, strict, id_pattern)
     bad = F.col("error").isNotNull()
     if all_or_nothing:
-        judged = judged.withColumn("_batch_error", F.max("error").over(Window.partitionBy(all_or_nothing)))
+        # Rows without a batch id are batches of their own, and are spread by what they hold.
+        alone = F.col(all_or_nothing).isNull()
+        spread = F.when(alone, F.xxhash64("user_id", "event_name", "timestamp", "properties"))
+        of_batch = F.max("error").over(Window.partitionBy(all_or_nothing, spread))
+        judged = judged.withColumn("_batch_error", F.when(alone, F.col("error")).otherwise(of_batch))
         batch_bad = F.col("_batch_error").isNotNull()
         rejected = judged.filter(batch_bad).withColumn(
             "error", F.coalesce("error", F.lit("batch rejected"))).drop("_batch_error")
