@@ -11,6 +11,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pulsegrain.operators.dedupe import one_per_key
 from pulsegrain.operators.filters import active_rows
 
 
@@ -22,6 +23,9 @@ def resolve_project(events: DataFrame, api_keys: DataFrame, projects: DataFrame,
     """
     keys = (active_rows(api_keys, as_of).select("key_hash", "project_id")
             .join(projects.select(F.col("id").alias("project_id"), F.col("name").alias("project_name")), "project_id"))
+    # Key hashes are not unique: the smallest project decides, and an event stays one row.
+    first = F.min(F.struct("project_id", "project_name")).alias("_project")
+    keys = one_per_key(keys, "key_hash", first).select("key_hash", "_project.*")
     hashed = events.drop("project_id").withColumn("key_hash", F.sha2(F.col(key), 256))
     return hashed.join(keys, "key_hash").drop("key_hash")
 
