@@ -7,11 +7,11 @@
    a similarity of at least the threshold still is (uniform prior); below ``miss`` the pair is dropped. Survivors are
    confirmed on their full shingle sets, made again from the texts.
 3. Confirmed links give components. Buckets whose nodes then lie in several components are not finished: there, nodes
-   outside the bucket's largest component meet the nodes of other components. Buckets of more than ``large``
-   nodes are first split by every second band key that a node has. Components are then made from all links.
+   outside the bucket's largest component meet the nodes of other components. In buckets of more than ``large`` nodes
+   they do so only where their differences allow a link (``_by_difference``). Components are then made from all links.
 
-A pair at the threshold shares no band with a probability of 5e-7, and only one, in a large bucket, of 8e-6; a
-batch drops it with at most ``miss``. Nothing else is lost: there is no limit on buckets, candidates or group sizes.
+A pair at the threshold shares no band with a probability of 5e-7; a batch drops it with at most ``miss``. Nothing else
+is lost: there is no limit on buckets, candidates or group sizes.
 
 Defined cases: NULL or wordless texts have no shingles, link with nothing, and are their own component. Fewer words than
 a shingle takes: the whole sequence is the only one. Rows with a NULL id join groups; the component takes the smallest
@@ -27,7 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pulsegrain.llm.common import LOWERED, staged
 from pulsegrain.llm.components import components
@@ -199,29 +199,77 @@ def _stars(open_: DataFrame, s: Settings) -> DataFrame:
     return pairs.select(F.least("centre", "uid").alias("a"), F.greatest("centre", "uid").alias("b")).distinct()
 
 
-def _rest(open_: DataFrame, base: DataFrame, member: DataFrame, s: Settings) -> DataFrame:
+def _difference_udf(s: Settings):
+    shingler = Shingler(s.words)
+
+    def difference(own: pa.Array, reference: pa.Array) -> pa.Array:
+        out, text, first = [], None, None
+        for a, b in zip(own.cast(pa.binary()), reference.cast(pa.binary())):
+            b = b.as_py()
+            if first is None or b != text:
+                text, first = b, shingler.hashes(b)
+            out.append({"m": len(first), "d": np.setxor1d(first, shingler.hashes(a.as_py()), assume_unique=True).view(np.int64)})
+        kinds = {"m": pa.int64(), "d": pa.list_(pa.int64())}
+        return pa.StructArray.from_arrays([pa.array([r[k] for r in out], v) for k, v in kinds.items()], names=list(kinds))
+
+    return F.arrow_udf(difference, "m bigint, d array<bigint>")
+
+
+def _by_difference(members: DataFrame, base: DataFrame, s: Settings, text: Column) -> DataFrame:
+    """(a, b) of one group (reference, uid, n, component), in different components, which can be links.
+
+    Sets x and y are linked if |x ^ y| <= c (|x| + |y|), c = (100 - percent) / (100 + percent). With the differences
+    X = x ^ r and Y = y ^ r to one reference r, x ^ y = X ^ Y: a link needs |X & Y| >= (u(x) + u(y)) / 2 where
+    u(x) = |X| - c |x|. A node linked with r itself gives the pair with r. Any other x has u(x) > c |r|, so a partner y needs
+    |X & Y| > (u(y) + c |r|) / 2; and as |Y| >= |X & Y|, x needs |X & Y| >= (u(x) - c |r|) / (1 + c). Of two sets with k common
+    elements, one is left in both after taking away the k - 1 commonest from each: only nodes that share one of these rarer
+    differences are paired. In a group of near copies these are the few that have the same edits.
+    """
+    spark, c = base.sparkSession, (100 - s.percent) / (100 + s.percent)
+    wanted = members.select("uid").union(members.select("reference")).distinct()
+    bodies = staged(spark, base.select("uid", text.alias("body")).join(wanted, "uid", "left_semi"), "group-texts", compression="zstd")
+    both = (members.join(bodies.withColumnRenamed("body", "own"), "uid")
+            .join(bodies.select(F.col("uid").alias("reference"), F.col("body").alias("other")), "reference"))
+    made = both.withColumn("made", _difference_udf(s)(F.col("own"), F.col("other"))).select("reference", "uid", "n", "component", "made.*")
+    # The bounds are rounded up; the small number keeps them right where the division is not exact.
+    need = lambda bound: F.greatest(F.lit(1), F.ceil(bound - 1e-6))
+    u, cr = F.size("d") - c * F.col("n"), c * F.col("m")
+    made = staged(spark, made.select("reference", "uid", "n", "component", "d", u.alias("u"), (u <= cr + 1e-6).alias("near"),
+                                     need((u - cr) / (1 + c)).alias("need_x"), need((u + cr) / 2).alias("need_y")), "differences")
+    direct = made.where("near and component != reference").select(F.least("uid", "reference").alias("a"), F.greatest("uid", "reference").alias("b"))
+
+    each = made.select("reference", "uid", F.explode("d").alias("e"))
+    shared = each.groupBy("reference", "e").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    shared = staged(spark, shared.select(F.col("reference").alias("r"), F.col("e").alias("f"), "often"), "shared-differences")
+    common = Window.partitionBy("reference", "uid").orderBy(F.desc("often"), "e")
+    ranked = each.join(shared, F.expr("reference = r and e = f")).select("reference", "uid", "e", F.row_number().over(common).alias("place"))
+    facts = made.select(F.col("uid").alias("id"), F.col("reference").alias("r"), "n", "component", "u", F.size("d").alias("nd"), "near", "need_x", "need_y")
+    # uid first: a group may be hot, a node is not.
+    ranked = staged(spark, ranked.join(facts, F.expr("uid = id and reference = r")).where("place >= least(need_x, need_y)").drop("id", "r"), "rare-differences")
+    name = lambda end: [F.col(k).alias(k + end) for k in ("uid", "n", "component", "u", "nd")]
+    x = ranked.where("not near and place >= need_x").select("reference", "e", *name("x"))
+    y = ranked.where("place >= need_y").select(F.col("reference").alias("r"), F.col("e").alias("f"), *name("y"))
+    pairs = x.join(y, F.expr("reference = r and e = f and componentx != componenty and 2 * least(ndx, ndy) >= ux + uy - 1e-6") & _sized("nx", "ny", s))
+    return direct.union(pairs.select(F.least("uidx", "uidy").alias("a"), F.greatest("uidx", "uidy").alias("b"))).distinct()
+
+
+def _rest(open_: DataFrame, base: DataFrame, member: DataFrame, s: Settings, text: Column) -> DataFrame:
     """(a, b) of one bucket, in different components, not both in the bucket's largest one."""
     spark = open_.sparkSession
     placed = open_.join(member, F.col("uid") == F.col("node"), "left").select("key", "uid", "n", F.coalesce("component", "uid").alias("component"))
     placed = staged(spark, placed, "placed")
-    # The smallest and largest component number of a bucket differ where it holds several.
-    mixed = placed.groupBy(F.col("key").alias("k")).agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low != high")
-    mixed = staged(spark, mixed.select("k", "size"), "mixed-buckets")
-    rows = staged(spark, placed.join(mixed, F.col("key") == F.col("k")).drop("k"), "mixed-rows")
-
-    second = base.select(F.col("uid").alias("id"), F.explode("bands").alias("other"))
-    split = (rows.where(F.col("size") > s.large).join(second, F.expr("uid = id and other != key"))
-             .select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "uid", "n", "component").distinct())
-    rows = rows.where(F.col("size") <= s.large).select("key", "uid", "n", "component").union(split)
-    rows = staged(spark, rows, "bucket-rows")
-    sizes = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("members"))
-    top = sizes.groupBy(F.col("key").alias("k")).agg(F.max(F.struct("members", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    top = staged(spark, top.select("k", F.col("top.component").alias("largest")), "largest-components")
-    marked = staged(spark, rows.join(top, F.col("key") == F.col("k")).drop("k"), "marked-rows")
-    outside = marked.where("component != largest").select("key", F.col("uid").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"))
-    inside = marked.select(F.col("key").alias("k"), F.col("uid").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"))
+    sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("members"))
+    top = sizes.groupBy(F.col("key").alias("k")).agg(F.max(F.struct("members", "component")).alias("top"), F.sum("members").alias("size"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    top = staged(spark, top.select("k", "size", F.col("top.component").alias("largest")), "largest-components")
+    marked = staged(spark, placed.join(top, F.col("key") == F.col("k")).drop("k"), "marked-rows")
+    small = marked.where(F.col("size") <= s.large)
+    outside = small.where("component != largest").select("key", F.col("uid").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"))
+    inside = small.select(F.col("key").alias("k"), F.col("uid").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"))
     pairs = outside.join(inside, F.expr("key = k and cx != cy") & _sized("nx", "ny", s))
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    pairs = staged(spark, pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "small-pairs")
+    # A large component is the reference of all its buckets: their nodes are one group.
+    members = marked.where(F.col("size") > s.large).select(F.col("largest").alias("reference"), "uid", "n", "component").distinct()
+    return pairs.union(_by_difference(staged(spark, members, "members"), base, s, text)).distinct()
 
 
 def classes(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -241,7 +289,7 @@ def classes(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc
     pairs = staged(spark, _stars(buckets, s), "star-pairs")
     links = _confirmed(pairs, base, s, body)
     member = staged(spark, components(links), "components")
-    more = staged(spark, _rest(buckets, base, member, s).join(pairs, ["a", "b"], "left_anti"), "rest-pairs")
+    more = staged(spark, _rest(buckets, base, member, s, body).join(pairs, ["a", "b"], "left_anti"), "rest-pairs")
     if more.limit(1).count():
         links = links.union(_confirmed(more, base, s, body))
         member = staged(spark, components(links), "components")
