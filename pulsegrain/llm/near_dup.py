@@ -10,7 +10,7 @@
    outside the bucket's largest component meet the nodes of other components. In buckets of more than ``large`` nodes
    they do so only where their differences allow a link (``_by_difference``). Components are then made from all links.
 
-A pair at the threshold shares no band with a probability of 5e-7; a batch drops it with at most ``miss``. Nothing else
+A pair at the threshold shares no band with a probability of 3e-6; a batch drops it with at most ``miss``. Nothing else
 is lost: there is no limit on buckets, candidates or group sizes.
 
 Defined cases: NULL or wordless texts have no shingles, link with nothing, and are their own component. Fewer words than
@@ -40,8 +40,8 @@ REMEMBERED = 1 << 20
 class Settings:
     words: int = 5
     percent: int = 80
-    rows: int = 6
-    bands: int = 48
+    rows: int = 5
+    bands: int = 32
     batch: int = 32
     miss: float = 1e-6
     large: int = 64
