@@ -218,12 +218,14 @@ def _difference_udf(s: Settings):
 def _by_difference(members: DataFrame, base: DataFrame, s: Settings, text: Column) -> DataFrame:
     """(a, b) of one group (reference, uid, n, component), in different components, which can be links.
 
-    Sets x and y are linked if |x ^ y| <= c (|x| + |y|), c = (100 - percent) / (100 + percent). With the differences
-    X = x ^ r and Y = y ^ r to one reference r, x ^ y = X ^ Y: a link needs |X & Y| >= (u(x) + u(y)) / 2 where
-    u(x) = |X| - c |x|. A node linked with r itself gives the pair with r. Any other x has u(x) > c |r|, so a partner y needs
-    |X & Y| > (u(y) + c |r|) / 2; and as |Y| >= |X & Y|, x needs |X & Y| >= (u(x) - c |r|) / (1 + c). Of two sets with k common
-    elements, one is left in both after taking away the k - 1 commonest from each: only nodes that share one of these rarer
-    differences are paired. In a group of near copies these are the few that have the same edits.
+    The group's core r is its reference, less and plus what differs from the reference in most members. With the differences
+    X = x ^ r and Y = y ^ r, x ^ y = X ^ Y. Sets are linked if |x ^ y| <= c (|x| + |y|), c = (100 - percent) / (100 + percent):
+    a link needs |X & Y| >= (u(x) + u(y)) / 2 where u(x) = |X| - c |x|, and if that sum is not positive it is a link.
+    So with the least u, that of the node z, each x of u(x) <= -u(z) is linked with z, and gives that one pair. Any other x
+    needs |X & Y| >= (u(x) + u(z)) / 2 and, as |Y| >= |X & Y|, |X & Y| >= (u(x) - c |r|) / (1 + c); a partner y of such an x
+    needs |X & Y| > (u(y) - u(z)) / 2. Of two sets with k common elements, one is left in both after taking away the k - 1
+    commonest from each: only nodes that share one of these rarer differences are paired. In a group of near copies
+    these are the few that have the same edits.
     """
     spark, c = base.sparkSession, (100 - s.percent) / (100 + s.percent)
     wanted = members.select("uid").union(members.select("reference")).distinct()
@@ -231,23 +233,34 @@ def _by_difference(members: DataFrame, base: DataFrame, s: Settings, text: Colum
     both = (members.join(bodies.withColumnRenamed("body", "own"), "uid")
             .join(bodies.select(F.col("uid").alias("reference"), F.col("body").alias("other")), "reference"))
     made = both.withColumn("made", _difference_udf(s)(F.col("own"), F.col("other"))).select("reference", "uid", "n", "component", "made.*")
+    made = staged(spark, made, "differences")
+
+    sizes = made.groupBy("reference").agg(F.count(F.lit(1)).alias("size"))
+    often = made.select("reference", F.explode("d").alias("e")).groupBy("reference", "e").agg(F.count(F.lit(1)).alias("often"))
+    # Elements in which most members differ: at most twice the mean number of differences.
+    usual = often.join(sizes, "reference").where("2 * often > size").groupBy(F.col("reference").alias("r")).agg(F.collect_list("e").alias("usual"))
+    core = made.join(staged(spark, usual, "usual-differences"), F.col("reference") == F.col("r"), "left").withColumn("usual", F.coalesce("usual", F.array().cast("array<bigint>")))
+    core = core.select("reference", "uid", "n", "component", (F.col("m") + F.size("usual")).alias("m"),
+                       F.concat(F.array_except("d", "usual"), F.array_except("usual", "d")).alias("d"))
+    core = staged(spark, core.withColumn("u", F.size("d") - c * F.col("n")), "core-differences")
+    least = core.groupBy(F.col("reference").alias("r")).agg(F.min(F.struct("u", "uid", "component")).alias("z"))
     # The bounds are rounded up; the small number keeps them right where the division is not exact.
     need = lambda bound: F.greatest(F.lit(1), F.ceil(bound - 1e-6))
-    u, cr = F.size("d") - c * F.col("n"), c * F.col("m")
-    made = staged(spark, made.select("reference", "uid", "n", "component", "d", u.alias("u"), (u <= cr + 1e-6).alias("near"),
-                                     need((u - cr) / (1 + c)).alias("need_x"), need((u + cr) / 2).alias("need_y")), "differences")
-    direct = made.where("near and component != reference").select(F.least("uid", "reference").alias("a"), F.greatest("uid", "reference").alias("b"))
+    u, uz = F.col("u"), F.col("z.u")
+    core = staged(spark, core.join(least, F.col("reference") == F.col("r")).select(
+        "reference", "uid", "n", "component", "d", "u", F.col("z.uid").alias("z"), F.col("z.component").alias("cz"), (u + uz > 1e-6).alias("far"),
+        need(F.greatest((u + uz) / 2, (u - c * F.col("m")) / (1 + c))).alias("need_x"), need((u - uz) / 2).alias("need_y")), "bounded-differences")
+    direct = core.where("not far and component != cz").select(F.least("uid", "z").alias("a"), F.greatest("uid", "z").alias("b"))
 
-    each = made.select("reference", "uid", F.explode("d").alias("e"))
+    each = core.select("reference", "uid", F.explode("d").alias("e"))
     shared = each.groupBy("reference", "e").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
     shared = staged(spark, shared.select(F.col("reference").alias("r"), F.col("e").alias("f"), "often"), "shared-differences")
     common = Window.partitionBy("reference", "uid").orderBy(F.desc("often"), "e")
     ranked = each.join(shared, F.expr("reference = r and e = f")).select("reference", "uid", "e", F.row_number().over(common).alias("place"))
-    facts = made.select(F.col("uid").alias("id"), F.col("reference").alias("r"), "n", "component", "u", F.size("d").alias("nd"), "near", "need_x", "need_y")
-    # uid first: a group may be hot, a node is not.
+    facts = core.select(F.col("uid").alias("id"), F.col("reference").alias("r"), "n", "component", "u", F.size("d").alias("nd"), "far", "need_x", "need_y")
     ranked = staged(spark, ranked.join(facts, F.expr("uid = id and reference = r")).where("place >= least(need_x, need_y)").drop("id", "r"), "rare-differences")
     name = lambda end: [F.col(k).alias(k + end) for k in ("uid", "n", "component", "u", "nd")]
-    x = ranked.where("not near and place >= need_x").select("reference", "e", *name("x"))
+    x = ranked.where("far and place >= need_x").select("reference", "e", *name("x"))
     y = ranked.where("place >= need_y").select(F.col("reference").alias("r"), F.col("e").alias("f"), *name("y"))
     pairs = x.join(y, F.expr("reference = r and e = f and componentx != componenty and 2 * least(ndx, ndy) >= ux + uy - 1e-6") & _sized("nx", "ny", s))
     return direct.union(pairs.select(F.least("uidx", "uidy").alias("a"), F.greatest("uidx", "uidy").alias("b"))).distinct()
