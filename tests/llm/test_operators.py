@@ -99,17 +99,36 @@ def test_near_duplicates_match_brute_force(spark):
             for _ in range(draw.randint(0, 4)):
                 words[draw.randrange(len(words))] = draw.choice("ABCDEFG") * 3
             texts.append(" ".join(words))
+    assert_classes(spark, texts, large=3)
+
+
+def test_large_group_of_near_copies_matches_brute_force(spark):
+    """Copies of one text with up to 14 changed words, some with the same changes, in buckets above ``large``."""
+    draw = random.Random(8)
+    base, twin = ([f"{kind}{i}" for i in range(60)] for kind in "wv")
+    texts = []
+    for i in range(240):
+        words = list(base if i % 5 else twin[:20] + base[20:])
+        for _ in range(draw.randint(0, 14)):
+            words[draw.randrange(60)] = draw.choice("abcdefgh") if i % 3 else f"own{draw.random()}"
+        texts.append(" ".join(words))
+        if i % 20 == 7:
+            texts += [" ".join([*words[:50], f"end{i}", str(j), "x"]) for j in range(3)]
+    assert_classes(spark, texts, large=4)
+
+
+def assert_classes(spark, texts, large):
     sets = []
     for t in texts:
         words = re.sub("[A-Z]", lambda m: m[0].lower(), t or "").split()
         sets.append({tuple(words[i:i + 2]) for i in range(max(1, len(words) - 1))} if words else set())
-    label = list(range(len(texts)))
-    for _ in texts:
-        for i, a in enumerate(sets):
-            for j, b in enumerate(sets):
-                if a and b and 100 * len(a & b) >= 80 * len(a | b):
-                    label[i] = label[j] = min(label[i], label[j])
-    got = near_dup.classes(frame(spark, texts), near_dup.Settings(words=2, large=3)).collect()
+    links = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and a and b and 100 * len(a & b) >= 80 * len(a | b)]
+    label, before = list(range(len(texts))), None
+    while label != before:
+        before = list(label)
+        for i, j in links:
+            label[i] = label[j] = min(label[i], label[j])
+    got = near_dup.classes(frame(spark, texts), near_dup.Settings(words=2, large=large)).collect()
     assert {r.row.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(s), label[i]) for i, s in enumerate(sets)}
 
 
