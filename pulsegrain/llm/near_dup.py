@@ -22,6 +22,7 @@ harm: the row travels in a struct.
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,6 +32,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pulsegrain.llm.common import LOWERED, staged
 from pulsegrain.llm.components import components
+from pulsegrain.session import work_dir
 
 SIGNED = "n bigint, digest binary, signature binary, bands array<bigint>"
 REMEMBERED = 1 << 20
@@ -168,20 +170,29 @@ def _sized(a: str, b: str, s: Settings) -> Column:
     return F.expr(f"100 * least({a}, {b}) >= {s.percent} * greatest({a}, {b})")
 
 
-def _confirmed(pairs: DataFrame, base: DataFrame, s: Settings, text: Column) -> DataFrame:
+def _confirmed(pairs: DataFrame, by_uid: DataFrame, s: Settings) -> DataFrame:
     """The pairs (a, b) that are links: signatures first, then whole texts of what survives."""
     spark = pairs.sparkSession
-    sides = [base.select(F.col("uid").alias(x), F.col("signature").alias(f"s{x}")) for x in "ab"]
+    sides = [by_uid.select(F.col("uid").alias(x), F.col("signature").alias(f"s{x}")) for x in "ab"]
     near = pairs.join(sides[1], "b").join(sides[0], "a")
     likely = staged(spark, near.where(_likely_udf(s)(F.col("sa"), F.col("sb"))).select("a", "b"), "likely-pairs")
     # Only texts of surviving pairs take part in the joins to come.
     wanted = likely.select(F.col("a").alias("uid")).union(likely.select("b")).distinct()
-    bodies = staged(spark, base.select("uid", text.alias("body")).join(wanted, "uid", "left_semi"), "likely-texts", compression="zstd")
+    bodies = staged(spark, by_uid.select("uid", "body").join(wanted, "uid", "left_semi"), "likely-texts", compression="zstd")
     texts = [bodies.select(F.col("uid").alias(x), F.col("body").alias(f"t{x}")) for x in "ab"]
     both = likely.join(texts[1], "b").join(texts[0], "a")
     return staged(spark, both.where(_similar_udf(s)(F.col("ta"), F.col("tb"))).select("a", "b"), "links")
 
 
+def _by_uid(base: DataFrame, text: Column, name: str) -> DataFrame:
+    """(uid, signature, body) as a table bucketed by uid: texts are moved once, later joins on uid leave them where they are."""
+    spark = base.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = base.where("n > 0").select("uid", "signature", text.alias("body")).repartition(n, "uid")
+    rows.write.bucketBy(n, "uid").sortBy("uid").options(path=work_dir(spark, "by-uid"), compression="zstd").saveAsTable(name)
+    return spark.table(name)
+
+
 def _open_buckets(keys: DataFrame) -> DataFrame:
     """Rows (key, uid, size, centre) of the buckets with two nodes or more. Each bucket's centre is the node whose number,
     xor the key, is least: another one in each bucket, so that a node meets many members of a large group."""
@@ -215,10 +226,10 @@ def _difference_udf(s: Settings):
     return F.arrow_udf(difference, "m bigint, d array<bigint>")
 
 
-def _by_difference(members: DataFrame, base: DataFrame, s: Settings, text: Column) -> DataFrame:
-    """(a, b) of one group (reference, uid, n, component), in different components, which can be links.
+def _by_difference(members: DataFrame, by_uid: DataFrame, s: Settings) -> DataFrame:
+    """(a, b) of one group (reference, uid, n, component, times), in different components, which can be links.
 
-    The group's core r is its reference, less and plus what differs from the reference in most members. With the differences
+    The group's core r is its member in most buckets, less and plus what differs from it in most members. With the differences
     X = x ^ r and Y = y ^ r, x ^ y = X ^ Y. Sets are linked if |x ^ y| <= c (|x| + |y|), c = (100 - percent) / (100 + percent):
     a link needs |X & Y| >= (u(x) + u(y)) / 2 where u(x) = |X| - c |x|, and if that sum is not positive it is a link.
     So with the least u, that of the node z, each x of u(x) <= -u(z) is linked with z, and gives that one pair. Any other x
@@ -227,11 +238,12 @@ def _by_difference(members: DataFrame, base: DataFrame, s: Settings, text: Colum
     commonest from each: only nodes that share one of these rarer differences are paired. In a group of near copies
     these are the few that have the same edits.
     """
-    spark, c = base.sparkSession, (100 - s.percent) / (100 + s.percent)
-    wanted = members.select("uid").union(members.select("reference")).distinct()
-    bodies = staged(spark, base.select("uid", text.alias("body")).join(wanted, "uid", "left_semi"), "group-texts", compression="zstd")
+    spark, c = by_uid.sparkSession, (100 - s.percent) / (100 + s.percent)
+    central = members.groupBy(F.col("reference").alias("r")).agg(F.max(F.struct("times", "uid"))["uid"].alias("pivot"))
+    members = staged(spark, members.join(central, F.col("reference") == F.col("r")).drop("r"), "members-and-pivots")
+    bodies = staged(spark, by_uid.select("uid", "body").join(members.select("uid").distinct(), "uid", "left_semi"), "group-texts", compression="zstd")
     both = (members.join(bodies.withColumnRenamed("body", "own"), "uid")
-            .join(bodies.select(F.col("uid").alias("reference"), F.col("body").alias("other")), "reference"))
+            .join(bodies.select(F.col("uid").alias("pivot"), F.col("body").alias("other")), "pivot"))
     made = both.withColumn("made", _difference_udf(s)(F.col("own"), F.col("other"))).select("reference", "uid", "n", "component", "made.*")
     made = staged(spark, made, "differences")
 
@@ -266,7 +278,7 @@ def _by_difference(members: DataFrame, base: DataFrame, s: Settings, text: Colum
     return direct.union(pairs.select(F.least("uidx", "uidy").alias("a"), F.greatest("uidx", "uidy").alias("b"))).distinct()
 
 
-def _rest(open_: DataFrame, base: DataFrame, member: DataFrame, s: Settings, text: Column) -> DataFrame:
+def _rest(open_: DataFrame, by_uid: DataFrame, member: DataFrame, s: Settings) -> DataFrame:
     """(a, b) of one bucket, in different components, not both in the bucket's largest one."""
     spark = open_.sparkSession
     placed = open_.join(member, F.col("uid") == F.col("node"), "left").select("key", "uid", "n", F.coalesce("component", "uid").alias("component"))
@@ -281,8 +293,8 @@ def _rest(open_: DataFrame, base: DataFrame, member: DataFrame, s: Settings, tex
     pairs = outside.join(inside, F.expr("key = k and cx != cy") & _sized("nx", "ny", s))
     pairs = staged(spark, pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "small-pairs")
     # A large component is the reference of all its buckets: their nodes are one group.
-    members = marked.where(F.col("size") > s.large).select(F.col("largest").alias("reference"), "uid", "n", "component").distinct()
-    return pairs.union(_by_difference(staged(spark, members, "members"), base, s, text)).distinct()
+    members = marked.where(F.col("size") > s.large).groupBy(F.col("largest").alias("reference"), "uid", "n", "component").agg(F.count(F.lit(1)).alias("times"))
+    return pairs.union(_by_difference(staged(spark, members, "members"), by_uid, s)).distinct()
 
 
 def classes(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -293,19 +305,22 @@ def classes(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc
     signed = rows.withColumn("made", _sign_udf(s)(F.col(f"row.`{text}`")))
     # The number of a row is fixed by writing it.
     base = staged(spark, signed.select("row", "made.*", F.monotonically_increasing_id().alias("uid")), "signed", compression="zstd")
-    body, own_id = F.col(f"row.`{text}`"), F.col(f"row.`{doc_id}`")
+    own_id = F.col(f"row.`{doc_id}`")
+    name = f"near_dup_{uuid.uuid4().hex}"
+    by_uid = _by_uid(base, F.col(f"row.`{text}`"), name)
     order = F.struct(own_id.isNull().alias("no_id"), own_id.alias("id"), F.col("uid"))
     sets = staged(spark, base.where("n > 0").groupBy("digest", "n").agg(F.min("uid").alias("node"), F.min(order).alias("first")), "sets")
     nodes = base.select("uid", "n", "bands").join(sets.select(F.col("node").alias("uid")), "uid", "left_semi")
     buckets = _open_buckets(staged(spark, nodes.select("uid", "n", F.explode("bands").alias("key")), "band-keys"))
 
     pairs = staged(spark, _stars(buckets, s), "star-pairs")
-    links = _confirmed(pairs, base, s, body)
+    links = _confirmed(pairs, by_uid, s)
     member = staged(spark, components(links), "components")
-    more = staged(spark, _rest(buckets, base, member, s, body).join(pairs, ["a", "b"], "left_anti"), "rest-pairs")
+    more = staged(spark, _rest(buckets, by_uid, member, s).join(pairs, ["a", "b"], "left_anti"), "rest-pairs")
     if more.limit(1).count():
-        links = links.union(_confirmed(more, base, s, body))
+        links = links.union(_confirmed(more, by_uid, s))
         member = staged(spark, components(links), "components")
+    spark.sql(f"DROP TABLE {name}")
 
     placed = sets.join(member, "node", "left").select("digest", F.col("n").alias("size"), "first", F.coalesce("component", "node").alias("component"))
     placed = staged(spark, placed, "placed-sets")
