@@ -16,7 +16,6 @@ from pulsegrain.session import work_dir
 from pulsegrain.sources.events import read_events, write_events
 
 # Fixed values.
-EXPORT_LIMIT = 10000
 ANONYMOUS = {"email": "anonymized@example.com", "first_name": "Anonymous", "last_name": "User"}
 USER_COLUMN = {"events": "user_id", "users": "id", "sessions": "user_id", "ai_queries": "user_id"}
 
@@ -47,13 +46,12 @@ def anonymize(events: DataFrame, users: DataFrame, ids: DataFrame) -> tuple[Data
     return anonymize_events(events, ids), anonymize_users(users, ids)
 
 
-def export_user(events: DataFrame, users: DataFrame, ids: DataFrame, limit: int = EXPORT_LIMIT) -> DataFrame:
-    """Profile and oldest ``limit`` events of each given user, one JSON row each.
-
-    The limit per user is part of the feature.
-    """
+def export_user(events: DataFrame, users: DataFrame, ids: DataFrame, limit: int | None = None) -> DataFrame:
+    """Profile and events of each given user, one JSON row each: all events, or the oldest ``limit`` if the caller asks."""
     chosen = _ids(ids, "user_id")
-    own = first_n_per_group(events.join(chosen, "user_id", "left_semi"), ["user_id"], [F.col("timestamp"), F.col("id")], limit)
+    own = events.join(chosen, "user_id", "left_semi")
+    if limit is not None:
+        own = first_n_per_group(own, ["user_id"], [F.col("timestamp"), F.col("id")], limit)
     options = {"ignoreNullFields": "false"}
     event_rows = own.select("user_id", F.lit("event").alias("kind"),
                             F.to_json(F.struct(*events.columns), options).alias("data"))

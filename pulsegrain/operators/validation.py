@@ -11,7 +11,7 @@ from pulsegrain.functions.periods import AsOf
 from pulsegrain.schemas import (
     MAX_NAME_LENGTH, MAX_PROPERTIES, MAX_PROPERTIES_CHARS, PLATFORMS, STRICT_NAME_PATTERN, UUID_PATTERN)
 
-EPOCH_MILLIS = "^[0-9]{11,14}$"
+EPOCH_MILLIS = "^[0-9]{11,14}\\z"
 ISO_START = "^[0-9]{4}-[0-9]{2}-[0-9]{2}"
 
 

@@ -57,5 +57,6 @@ MAX_NAME_LENGTH = 100
 MAX_BATCH = 100
 MAX_PROPERTIES = 50
 MAX_PROPERTIES_CHARS = 10000
-UUID_PATTERN = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
-STRICT_NAME_PATTERN = "^[a-zA-Z0-9_-]+$"
+# \z and not $, which also matches before a last line break.
+UUID_PATTERN = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\\z"
+STRICT_NAME_PATTERN = "^[a-zA-Z0-9_-]+\\z"

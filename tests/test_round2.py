@@ -1,10 +1,11 @@
-"""Cases found in review: duplicate key hashes."""
+"""Cases found in review: duplicate key hashes, line breaks in names."""
 
 import datetime as dt
 
 from pyspark.sql import functions as F
 
 from pulsegrain.operators.joins import resolve_project
+from pulsegrain.schemas import STRICT_NAME_PATTERN
 
 
 def test_one_project_per_event_with_duplicate_hashes(spark):
@@ -14,3 +15,8 @@ def test_one_project_per_event_with_duplicate_hashes(spark):
     events = spark.createDataFrame([(1, "k")], "id int, api_key string")
     out = resolve_project(events, keys.withColumn("key_hash", F.sha2("raw", 256)), projects, dt.datetime(2024, 1, 1)).collect()
     assert [(r.id, r.project_id, r.project_name) for r in out] == [(1, "p1", "one")]
+
+
+def test_names_with_a_last_line_break_are_rejected(spark):
+    rows = spark.createDataFrame([("abc",), ("abc\n",)], "name string")
+    assert [r[0] for r in rows.select(F.col("name").rlike(STRICT_NAME_PATTERN)).collect()] == [True, False]
