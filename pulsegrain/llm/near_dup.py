@@ -239,18 +239,18 @@ def _by_difference(members: DataFrame, by_uid: DataFrame, s: Settings) -> DataFr
     these are the few that have the same edits.
     """
     spark, c = by_uid.sparkSession, (100 - s.percent) / (100 + s.percent)
-    central = members.groupBy(F.col("reference").alias("r")).agg(F.max(F.struct("times", "uid"))["uid"].alias("pivot"))
+    central = members.groupBy(F.col("reference").alias("r")).agg(F.max(F.struct("times", "uid"))["uid"].alias("pivot"), F.count(F.lit(1)).alias("size"))
     members = staged(spark, members.join(central, F.col("reference") == F.col("r")).drop("r"), "members-and-pivots")
     bodies = staged(spark, by_uid.select("uid", "body").join(members.select("uid").distinct(), "uid", "left_semi"), "group-texts", compression="zstd")
     both = (members.join(bodies.withColumnRenamed("body", "own"), "uid")
             .join(bodies.select(F.col("uid").alias("pivot"), F.col("body").alias("other")), "pivot"))
-    made = both.withColumn("made", _difference_udf(s)(F.col("own"), F.col("other"))).select("reference", "uid", "n", "component", "made.*")
+    made = both.withColumn("made", _difference_udf(s)(F.col("own"), F.col("other"))).select("reference", "uid", "n", "component", "size", "made.*")
     made = staged(spark, made, "differences")
 
-    sizes = made.groupBy("reference").agg(F.count(F.lit(1)).alias("size"))
-    often = made.select("reference", F.explode("d").alias("e")).groupBy("reference", "e").agg(F.count(F.lit(1)).alias("often"))
+    often = made.select("reference", "size", F.explode("d").alias("e")).groupBy("reference", "e").agg(F.count(F.lit(1)).alias("often"), F.first("size").alias("size"))
+    often = staged(spark, often.where("often > 1 or 2 * often > size"), "frequent-differences")
     # Elements in which most members differ: at most twice the mean number of differences.
-    usual = often.join(sizes, "reference").where("2 * often > size").groupBy(F.col("reference").alias("r")).agg(F.collect_list("e").alias("usual"))
+    usual = often.where("2 * often > size").groupBy(F.col("reference").alias("r")).agg(F.collect_list("e").alias("usual"))
     core = made.join(staged(spark, usual, "usual-differences"), F.col("reference") == F.col("r"), "left").withColumn("usual", F.coalesce("usual", F.array().cast("array<bigint>")))
     core = core.select("reference", "uid", "n", "component", (F.col("m") + F.size("usual")).alias("m"),
                        F.concat(F.array_except("d", "usual"), F.array_except("usual", "d")).alias("d"))
@@ -265,8 +265,8 @@ def _by_difference(members: DataFrame, by_uid: DataFrame, s: Settings) -> DataFr
     direct = core.where("not far and component != cz").select(F.least("uid", "z").alias("a"), F.greatest("uid", "z").alias("b"))
 
     each = core.select("reference", "uid", F.explode("d").alias("e"))
-    shared = each.groupBy("reference", "e").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
-    shared = staged(spark, shared.select(F.col("reference").alias("r"), F.col("e").alias("f"), "often"), "shared-differences")
+    # From the core differ, in a usual element, those members that do not differ in it from the pivot.
+    shared = often.select(F.col("reference").alias("r"), F.col("e").alias("f"), F.expr("if(2 * often > size, size - often, often)").alias("often")).where("often > 1")
     common = Window.partitionBy("reference", "uid").orderBy(F.desc("often"), "e")
     ranked = each.join(shared, F.expr("reference = r and e = f")).select("reference", "uid", "e", F.row_number().over(common).alias("place"))
     facts = core.select(F.col("uid").alias("id"), F.col("reference").alias("r"), "n", "component", "u", F.size("d").alias("nd"), "far", "need_x", "need_y")
