@@ -1,7 +1,8 @@
 """Change, trend, anomaly and forecast over small daily series, and period reports.
 
 All definitions here are ours. Events are aggregated to one row per project and day (or period)
-before any window, so a window group holds as many rows as there are days.
+before any window, so a window group holds as many rows as there are days. Windows go by the calendar, not by
+rows: a day without events is no value, and is not replaced by an earlier one.
 """
 
 from __future__ import annotations
@@ -25,23 +26,32 @@ def change_percent(now: Column, before: Column) -> Column:
     return rounded(F.try_divide((now - before).cast("double"), before.cast("double")) * 100, 2)
 
 
-def vs_previous(df: DataFrame, metrics: Sequence[str], order: str, keys: Sequence[str] = ("project_id",)) -> DataFrame:
-    """Add ``previous_<m>`` and ``<m>_change`` against the row before, per key."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    out = df.withColumns({f"previous_{m}": F.lag(m).over(w) for m in metrics})
+def period_number(date: str, period: str) -> Column:
+    """Number of the day, week or month that starts at a date; neighbours differ by one."""
+    if period == "monthly":
+        return (F.year(date) * 12 + F.month(date)).cast("int")
+    days = F.unix_date(F.to_date(date))
+    return F.floor(days / 7).cast("int") if period == "weekly" else days
+
+
+def vs_previous(df: DataFrame, metrics: Sequence[str], order: str, keys: Sequence[str] = ("project_id",),
+                period: str = "daily") -> DataFrame:
+    """Add ``previous_<m>`` and ``<m>_change`` against the day, week or month before, per key; NULL if it has no row."""
+    before = Window.partitionBy(*keys).orderBy(period_number(order, period)).rangeBetween(-1, -1)
+    out = df.withColumns({f"previous_{m}": F.max(m).over(before) for m in metrics})
     return out.withColumns({f"{m}_change": change_percent(F.col(m), F.col(f"previous_{m}")) for m in metrics})
 
 
 def trend(daily: DataFrame, metric: str, days: int = 7, threshold: float = 20.0) -> DataFrame:
-    """Mean of the last ``days`` rows against the ``days`` before; flagged from ``threshold`` percent.
+    """Mean of the last ``days`` days against the ``days`` before; flagged from ``threshold`` percent.
 
-    Rows without two full windows are left out.
+    Days without two full windows are left out.
     """
-    w = Window.partitionBy("project_id").orderBy("date")
-    now, before = w.rowsBetween(1 - days, 0), w.rowsBetween(1 - 2 * days, -days)
+    w = Window.partitionBy("project_id").orderBy(period_number("date", "daily"))
+    now, before = w.rangeBetween(1 - days, 0), w.rangeBetween(1 - 2 * days, -days)
     means = daily.select(
         "project_id", "date", F.avg(metric).over(now).alias("_now"), F.avg(metric).over(before).alias("_before"),
-        F.count("*").over(before).alias("_rows")).filter(F.col("_rows") == days)
+        (F.count("*").over(before) + F.count("*").over(now)).alias("_rows")).filter(F.col("_rows") == 2 * days)
     change = change_percent(F.col("_now"), F.col("_before"))
     return means.select(
         "project_id", "date", rounded(F.col("_now"), 4).alias("trailing_avg"), rounded(F.col("_before"), 4).alias("prior_avg"),
@@ -50,9 +60,10 @@ def trend(daily: DataFrame, metric: str, days: int = 7, threshold: float = 20.0)
 
 
 def anomalies(daily: DataFrame, metric: str, z: float = 3.0, days: int = 7) -> DataFrame:
-    """z-score of each day against the ``days`` rows before it; flagged from ``z`` on."""
-    before = Window.partitionBy("project_id").orderBy("date").rowsBetween(-days, -1)
-    mean, spread = F.avg(metric).over(before), F.stddev_samp(metric).over(before)
+    """z-score of each day against the ``days`` days before it, if all have values; flagged from ``z`` on."""
+    before = Window.partitionBy("project_id").orderBy(period_number("date", "daily")).rangeBetween(-days, -1)
+    full = F.count("*").over(before) == days
+    mean, spread = (F.when(full, value(metric).over(before)) for value in (F.avg, F.stddev_samp))
     scored = daily.select("project_id", "date", F.col(metric).alias("value"), mean.alias("_m"), spread.alias("_s"))
     score = rounded(F.try_divide(F.col("value") - F.col("_m"), F.col("_s")), 4)
     return scored.select("project_id", "date", "value", rounded(F.col("_m"), 4).alias("expected"), score.alias("z_score"),
@@ -76,7 +87,7 @@ def period_report(events: DataFrame, period: str = "weekly") -> DataFrame:
     """Per project and period: events, users, sessions, each with its change, and the top event."""
     rows = events.withColumn("period_start", period_start("timestamp", period))
     keys = ["project_id", "period_start"]
-    base = vs_previous(counts_users_sessions(rows, keys), ["events", "users", "sessions"], "period_start")
+    base = vs_previous(counts_users_sessions(rows, keys), ["events", "users", "sessions"], "period_start", period=period)
     names = rows.groupBy(*keys, "event_name").agg(F.count("*").alias("_n"))
     top = names.groupBy(*keys).agg(F.min_by("event_name", F.struct(-F.col("_n"), "event_name")).alias("top_event"))
     return base.join(top, keys)

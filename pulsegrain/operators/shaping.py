@@ -94,9 +94,10 @@ def scroll_milestones(df: DataFrame, percent: str = "scroll_percent", page: str
     """First time each session and page reached 25, 50, 75 and 100 percent.
 
     Each row is first reduced to the highest point it reached, so rows are aggregated, not
-    multiplied, before the shuffle; points below are filled in on the small result.
+    multiplied, before the shuffle; points below are filled in on the small result. Percents are rounded
+    to whole ones first, halves up.
     """
-    reached = F.floor(F.least(F.col(percent), F.lit(100)) / 25).cast("int") * 25
+    reached = F.floor(F.least(F.floor(F.col(percent) + 0.5), F.lit(100)) / 25).cast("int") * 25
     tops = (df.select("session_id", F.col(page).alias("page"), "timestamp", reached.alias("_top"))
             .filter("_top >= 25")
             .groupBy("session_id", "page", "_top").agg(F.min("timestamp").alias("timestamp")))

@@ -232,7 +232,7 @@ def _(spark, sf):
 
 @check("scroll_milestones", "P-8", with_views(BASE, SESSIONS) + f"""
 SELECT session_id, page, m AS depth_percent, {TS.format('min("timestamp")')} AS "timestamp"
-FROM ev, (SELECT unnest([25, 50, 75, 100])::bigint AS m) WHERE least(value, 100) >= m GROUP BY session_id, page, m""")
+FROM ev, (SELECT unnest([25, 50, 75, 100])::bigint AS m) WHERE least(floor(value + 0.5), 100) >= m GROUP BY session_id, page, m""")
 def _(spark, sf):
     rows = testbed.events(spark, sf).withColumn("page", prop("page"))
     return shaping.scroll_milestones(rows, "value")

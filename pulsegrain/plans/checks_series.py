@@ -19,11 +19,11 @@ def _daily(spark, sf):
 
 
 @check("change_vs_previous", "W-2", BYDAY + """
-SELECT project_id, cast(d AS varchar) AS date, events, users,
-  lag(events) OVER w AS previous_events, lag(users) OVER w AS previous_users,
-  round((events - lag(events) OVER w) / lag(events) OVER w * 100, 2) AS events_change,
-  round((users - lag(users) OVER w) / lag(users) OVER w * 100, 2) AS users_change
-FROM daily WINDOW w AS (PARTITION BY project_id ORDER BY d)""")
+SELECT daily.project_id, cast(daily.d AS varchar) AS date, daily.events, daily.users,
+  p.events AS previous_events, p.users AS previous_users,
+  round((daily.events - p.events) / p.events * 100, 2) AS events_change,
+  round((daily.users - p.users) / p.users * 100, 2) AS users_change
+FROM daily LEFT JOIN daily p ON p.project_id = daily.project_id AND p.d = daily.d - 1""")
 def _(spark, sf):
     return insights.vs_previous(_daily(spark, sf).drop("sessions"), ["events", "users"], "date")
 
@@ -34,20 +34,20 @@ def _(spark, sf):
 
 
 @check("trend", "W-4", BYDAY.rstrip() + """, m AS (
-  SELECT project_id, d, avg(events) OVER (w ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS a,
-    avg(events) OVER (w ROWS BETWEEN 13 PRECEDING AND 7 PRECEDING) AS b,
-    count(*) OVER (w ROWS BETWEEN 13 PRECEDING AND 7 PRECEDING) AS n FROM daily WINDOW w AS (PARTITION BY project_id ORDER BY d))
+  SELECT x.project_id, x.d, avg(y.events) FILTER (y.d > x.d - 7) AS a, avg(y.events) FILTER (y.d <= x.d - 7) AS b, count(*) AS n
+  FROM daily x JOIN daily y ON x.project_id = y.project_id AND y.d BETWEEN x.d - 13 AND x.d GROUP BY ALL)
 SELECT project_id, cast(d AS varchar) AS date, round(a, 4) AS trailing_avg, round(b, 4) AS prior_avg,
   round((a - b) / b * 100, 2) AS change,
   CASE WHEN round((a - b) / b * 100, 2) >= 5 THEN 'up' WHEN round((a - b) / b * 100, 2) <= -5 THEN 'down' ELSE 'flat' END AS trend
-FROM m WHERE n = 7""")
+FROM m WHERE n = 14""")
 def _(spark, sf):
     return insights.trend(_daily(spark, sf), "events", threshold=5.0)
 
 
 @check("anomalies", "W-5", BYDAY.rstrip() + """, m AS (
-  SELECT *, avg(events) OVER w AS a, stddev_samp(events) OVER w AS s
-  FROM daily WINDOW w AS (PARTITION BY project_id ORDER BY d ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING))
+  SELECT x.project_id, x.d, x.events, CASE WHEN count(y.d) = 7 THEN avg(y.events) END AS a,
+    CASE WHEN count(y.d) = 7 THEN stddev_samp(y.events) END AS s
+  FROM daily x LEFT JOIN daily y ON x.project_id = y.project_id AND y.d BETWEEN x.d - 7 AND x.d - 1 GROUP BY ALL)
 SELECT project_id, cast(d AS varchar) AS date, events AS value, round(a, 4) AS expected,
   round((events - a) / nullif(s, 0), 4) AS z_score, coalesce(abs(round((events - a) / nullif(s, 0), 4)) >= 2, FALSE) AS is_anomaly
 FROM m""")

@@ -63,8 +63,20 @@ def content_id() -> Column:
     A random id would differ when a lost task is run again, and between two deliveries of the
     same event; this one does not.
     """
-    return F.sha2(F.concat_ws("|", "project_id", "user_id", "session_id", "event_name",
-                              F.unix_micros("timestamp").cast("string"), props_key()), 256)
+    return F.sha2(_as_json(), 256)
+
+
+def delivery_id(*delivery: Column) -> Column:
+    """Identifier of one received event: its content and where it was received, so equal events keep their own."""
+    return F.sha2(_as_json(*delivery), 256)
+
+
+def _as_json(*more: Column) -> Column:
+    """The event as JSON: NULL and empty fields differ, and no text can look like two fields."""
+    micros = F.unix_micros("timestamp").alias("at")
+    fields = F.struct("project_id", "user_id", "session_id", "event_name", micros, props_key().alias("props"),
+                      *(c.alias(f"delivery{i}") for i, c in enumerate(more)))
+    return F.to_json(fields, {"ignoreNullFields": "false"})
 
 
 def prepare(raw: DataFrame, context: dict[str, Column | str], as_of: AsOf = None, **rules) -> tuple[DataFrame, DataFrame]:

@@ -10,12 +10,12 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from pulsegrain.functions.periods import month_key
 from pulsegrain.functions.props import props_key
-from pulsegrain.operators.dedupe import DELIVERY_KEY, first_per_key
+from pulsegrain.operators.dedupe import DELIVERY_KEY
 from pulsegrain.operators.joins import resolve_project
 from pulsegrain.operators.shaping import enrich
 from pulsegrain.operators.validation import apply_defaults, judge_events, parse_time
 from pulsegrain.sources.events import conform, read_events, write_events
-from pulsegrain.sources.ingest import content_id
+from pulsegrain.sources.ingest import delivery_id
 
 
 def replace_batch(df: DataFrame, path: str, batch_id: int) -> None:
@@ -27,23 +27,44 @@ def replace_batch(df: DataFrame, path: str, batch_id: int) -> None:
      .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path))
 
 
+def batch_instant(spark: SparkSession, path: str, batch_id: int) -> dt.datetime:
+    """The instant, in whole milliseconds, at which a micro-batch was first received. It is stored, so a replay of the batch finds the same."""
+    folder = f"{path}/batch={batch_id}"
+    try:
+        known = spark.read.schema("at timestamp").parquet(folder).first()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        known = None
+    if known is None:  # no folder, or one whose write was cut short
+        spark.sql("SELECT date_trunc('millisecond', current_timestamp()) AS at").write.mode("overwrite").parquet(folder)
+        known = spark.read.schema("at timestamp").parquet(folder).first()
+    return known.at
+
+
 def stream_ingest(raw: DataFrame, api_keys: DataFrame, projects: DataFrame, landing: str, rejected: str,
-                  checkpoint: str, as_of: dt.datetime, key: str = "api_key", **rules) -> DataStreamWriter:
+                  checkpoint: str, as_of: dt.datetime | None = None, key: str = "api_key", **rules) -> DataStreamWriter:
     """Writer that lands valid events by micro-batch, and rejected ones beside them.
 
     ``raw`` carries the client fields and an API key. Validation is computed once per batch: the
     verdicts are written as they are evaluated, and both outputs are read back from that.
+    An event without a time gets the instant of its batch, against which keys expire too; ``as_of`` fixes that
+    instant, to process a recorded stream again. Each received event has its own id, also where contents are equal:
+    repeated deliveries are the matter of ``stream_dedupe``.
     """
+    instants = f"{checkpoint.rstrip('/')}/received"
 
     def land(batch: DataFrame, batch_id: int) -> None:
-        judged = judge_events(batch, **rules).persist()
+        received = batch_instant(batch.sparkSession, instants, batch_id)
+        now = as_of or received
+        judged = judge_events(batch.withColumn("_position", F.monotonically_increasing_id()), **rules).persist()
         try:
             good = judged.filter(F.col("error").isNull()).drop("field", "error").withColumns({
                 "properties": F.from_json("properties", "map<string,string>"), "timestamp": parse_time("timestamp")})
-            known = resolve_project(apply_defaults(good, as_of), api_keys, projects, as_of, key)
-            events = enrich(known, {}).withColumn("id", content_id())
+            known = resolve_project(apply_defaults(good, now), api_keys, projects, now, key)
+            events = enrich(known, {}).withColumn("id", delivery_id(F.lit(received), F.lit(batch_id), F.col("_position")))
             replace_batch(conform(events), landing, batch_id)
-            replace_batch(judged.filter(F.col("error").isNotNull()), rejected, batch_id)
+            replace_batch(judged.filter(F.col("error").isNotNull()).drop("_position"), rejected, batch_id)
         finally:
             judged.unpersist()
 
@@ -53,11 +74,10 @@ def stream_ingest(raw: DataFrame, api_keys: DataFrame, projects: DataFrame, land
 def compact_landing(spark: SparkSession, landing: str, table: str, first: int, last: int) -> None:
     """Append landed batches ``first`` to ``last`` to the monthly event table.
 
-    Ids are computed from content, and only ids the touched months lack are added: running the
+    Every landed event is kept, as its id is its own. Only ids the touched months lack are added: running the
     job again after a failure changes nothing.
     """
-    landed = spark.read.parquet(landing).filter(F.col("batch_id").between(first, last))
-    fresh = first_per_key(landed, ["id"], [F.col("batch_id")])
+    landed = fresh = spark.read.parquet(landing).filter(F.col("batch_id").between(first, last))
     try:
         stored = read_events(spark, table)
     except AnalysisException as error:
