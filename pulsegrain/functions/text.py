@@ -23,6 +23,9 @@ PII_RULES = (
     (".", "\\b[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\b", "[ip]"),
     (None, "\\+?[0-9][0-9 ().-]{7,}[0-9]", "[phone]"),
 )
+# Dates (year-month-day) are no phone numbers. Their hyphens are set apart while the rules run.
+DATE = "\\b((?:19|20)[0-9]{2})-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])\\b"
+HELD_DATE = "\\b([0-9]{4})\ue000([0-9]{2})\ue000([0-9]{2})\\b"
 
 
 def sanitize_text(col: str | Column) -> Column:
@@ -36,6 +39,14 @@ def mask_rule(col: Column, needed: str | None, pattern: str, tag: str) -> Column
     return masked if needed is None else F.when(col.contains(needed), masked).otherwise(col)
 
 
+def hold_dates(col: Column) -> Column:
+    return F.regexp_replace(col, DATE, "$1\ue000$2\ue000$3")
+
+
+def release_dates(col: Column) -> Column:
+    return F.regexp_replace(col, HELD_DATE, "$1-$2-$3")
+
+
 def _first_group(col: Column, pattern: str) -> Column:
     """Group 1 of the first match, NULL when the pattern does not occur."""
     return F.when(F.regexp_like(col, F.lit(pattern)), F.regexp_extract(col, pattern, 1))

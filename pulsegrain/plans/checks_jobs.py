@@ -84,10 +84,12 @@ def _(spark, sf):
     return event_table.read_events(spark, path).select("id", "user_id", "event_month")
 
 
-MASK = r"""regexp_replace(regexp_replace(regexp_replace(text,
+MASK = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
+  '\b((?:19|20)[0-9]{2})-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])\b', '\1' || chr(57344) || '\2' || chr(57344) || '\3', 'g'),
   '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[email]', 'g'),
   '\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b', '[ip]', 'g'),
-  '\+?[0-9][0-9 ().-]{7,}[0-9]', '[phone]', 'g')"""
+  '\+?[0-9][0-9 ().-]{7,}[0-9]', '[phone]', 'g'),
+  '\b([0-9]{4})' || chr(57344) || '([0-9]{2})' || chr(57344) || '([0-9]{2})\b', '\1-\2-\3', 'g')"""
 
 
 @check("masked_text", "G-4", f"SELECT doc_id, {MASK} AS text FROM documents")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pulsegrain.operators import insights
 from pulsegrain.operators.joins import resolve_project
-from pulsegrain.operators.shaping import scroll_milestones
+from pulsegrain.operators.shaping import mask_pii, scroll_milestones
 from pulsegrain.schemas import STRICT_NAME_PATTERN
 from pulsegrain.session import work_dir
 from pulsegrain.sources.events import read_events
@@ -72,3 +72,9 @@ def test_scroll_percent_is_rounded_first(spark):
     rows = spark.createDataFrame([("s", "/", 24.6), ("t", "/", 24.4)], "session_id string, page string, scroll_percent double")
     rows = rows.withColumn("timestamp", F.lit(dt.datetime(2024, 1, 1)))
     assert [(r.session_id, r.depth_percent) for r in scroll_milestones(rows).collect()] == [("s", 25)]
+
+
+def test_dates_are_no_phone_numbers(spark):
+    rows = spark.createDataFrame([("on 2024-01-30 12:30 call +49 30 1234567 or 555-123-4567",), (None,), ("",)], "text string")
+    out = [r.text for r in mask_pii(rows, "text").collect()]
+    assert out == ["on 2024-01-30 12:30 call [phone] or [phone]", None, ""]
