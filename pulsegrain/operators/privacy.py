@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pulsegrain.operators.dedupe import one_per_key
 from pulsegrain.operators.paging import first_n_per_group
 from pulsegrain.operators.shaping import mask_pii  # noqa: F401  (the fourth privacy job)
-from pulsegrain.session import work_dir
+from pulsegrain.schemas import EVENTS
 from pulsegrain.sources.events import read_events, write_events
 
 # Fixed values.
@@ -68,30 +69,56 @@ def erase(tables: Mapping[str, DataFrame], ids: DataFrame) -> dict[str, DataFram
 
 
 def rewrite_months(spark: SparkSession, path: str, ids: DataFrame,
-                   change: Callable[[DataFrame], DataFrame]) -> list[str]:
+                   change: Callable[[DataFrame], DataFrame]) -> list[str | None]:
     """Apply ``change`` to the stored months that hold events of the given users.
 
-    Months without such events are neither read again nor written. The changed months are first
-    written to a scratch folder in shared storage, as Spark cannot overwrite what it reads; if the
-    copy back is interrupted, running it again is safe. A month left without events is emptied.
+    Months without such events are neither read again nor written; events without a time are a month of their own
+    (None). The changed months are first written beside the table, as Spark cannot overwrite what it reads, with a list of
+    them when they are whole. A run that is interrupted while it copies back is finished by the next one, from that
+    list. Afterwards the copy is emptied. A month left without events is emptied too. No other job may write
+    the table until this one has finished.
     """
+    copy, whole = _beside(path)
+    _copy_back(spark, path)
     stored = read_events(spark, path)
     hits = stored.join(_ids(ids, "user_id"), "user_id", "left_semi")
-    months = sorted(r["event_month"] for r in hits.select("event_month").distinct().collect())
-    if not months:
+    found = {r["event_month"] for r in hits.select("event_month").distinct().collect()}
+    if not found:
         return []
-    staged = work_dir(spark, "rewrite")
-    write_events(change(read_events(spark, path, months)), staged)
-    result = read_events(spark, staged)
-    kept = {r["event_month"] for r in result.select("event_month").distinct().collect()}
-    if kept:
-        write_events(result, path, dynamic=True)
-    for month in sorted(set(months) - kept):
-        empty = result.limit(0).drop("event_month")
-        empty.write.mode("overwrite").parquet(f"{path}/event_month={month}")
+    months = sorted(found - {None}) + [None] * (None in found)
+    write_events(change(read_events(spark, path, months)), copy, "overwrite")
+    spark.createDataFrame([(m,) for m in months], "month string").write.mode("overwrite").parquet(whole)
+    _copy_back(spark, path)
     return months
 
 
+def _beside(path: str) -> tuple[str, str]:
+    """Folders beside the table: the changed months, and the list of them that says they are whole."""
+    root = path.rstrip("/")
+    return f"{root}-rewrite", f"{root}-rewrite-months"
+
+
+def _copy_back(spark: SparkSession, path: str) -> None:
+    """Replace the listed months by their changed copy, if there is one, and empty the copy."""
+    copy, whole = _beside(path)
+    try:
+        months = {r["month"] for r in spark.read.schema("month string").parquet(whole).collect()}
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return
+    if months:
+        result = read_events(spark, copy)
+        kept = {r["event_month"] for r in result.select("event_month").distinct().collect()}
+        if kept:
+            write_events(result, path, dynamic=True)
+        for month in months - kept:
+            empty = spark.createDataFrame([], EVENTS)
+            empty.write.mode("overwrite").parquet(f"{path}/event_month={'__HIVE_DEFAULT_PARTITION__' if month is None else month}")
+        spark.createDataFrame([], "month string").write.mode("overwrite").parquet(whole)
+    spark.createDataFrame([], EVENTS).write.mode("overwrite").parquet(copy)
+
+
 def anonymize_stored(spark: SparkSession, path: str, ids: DataFrame) -> list[str]:
     """Anonymize the given users in the stored event table."""
     return rewrite_months(spark, path, ids, lambda events: anonymize_events(events, ids))

@@ -10,10 +10,14 @@ from pulsegrain.functions.periods import month_key
 from pulsegrain.schemas import EVENTS, EVENTS_PARTITIONED
 
 
-def read_events(spark: SparkSession, path: str, months: Iterable[str] | None = None) -> DataFrame:
-    """Read the event table; ``months`` (yyyyMM) prunes partitions before any file is opened."""
+def read_events(spark: SparkSession, path: str, months: Iterable[str | None] | None = None) -> DataFrame:
+    """Read the event table; ``months`` (yyyyMM; None: events without a time) prunes partitions before any file is opened."""
     events = spark.read.schema(EVENTS_PARTITIONED).parquet(path)
-    return events if months is None else events.filter(F.col("event_month").isin(list(months)))
+    if months is None:
+        return events
+    wanted = set(months)
+    known = F.col("event_month").isin(sorted(wanted - {None}))
+    return events.filter(known | F.col("event_month").isNull() if None in wanted else known)
 
 
 def conform(df: DataFrame) -> DataFrame:

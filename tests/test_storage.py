@@ -91,3 +91,41 @@ def test_ingest_job_is_repeatable_by_id(spark, small_dir):
     rows = read_events(spark, sink)
     assert rows.count() == 2 * rows.select("id").distinct().count()
     assert spark.read.parquet(bad).filter("error IS NULL").count() == 0
+
+
+def test_events_without_a_time_are_erased_too(spark):
+    path = work_dir(spark, "events")
+    rows = spark.createDataFrame([("1", dt.datetime(2024, 1, 1)), ("1", None), ("2", None), ("2", dt.datetime(2024, 1, 2))], "user_id string, timestamp timestamp")
+    write_events(conform(rows), path)
+    assert privacy.erase_stored(spark, path, ids(spark, "1")) == ["202401", None]
+    assert [r.user_id for r in read_events(spark, path).collect()] == ["2", "2"]
+    assert privacy.erase_stored(spark, path, ids(spark, "2")) == ["202401", None]
+    assert read_events(spark, path).count() == 0
+    assert read_events(spark, path, [None]).count() == 0
+
+
+def test_no_copy_of_rewritten_events_stays(spark, stored):
+    privacy.erase_stored(spark, stored, ids(spark, "1"))
+    assert spark.read.parquet(f"{stored}-rewrite").count() == 0
+
+
+def test_an_interrupted_rewrite_is_finished_by_the_next(spark, stored, monkeypatch):
+    total = read_events(spark, stored).count()
+    gone = read_events(spark, stored).filter("user_id = '1'").count()
+    copy_back, calls = privacy._copy_back, []
+
+    def stops(spark, path):
+        calls.append(path)
+        if len(calls) == 2:
+            # The copy is whole, and a month is already gone from the table.
+            read_events(spark, path).limit(0).drop("event_month").write.mode("overwrite").parquet(f"{path}/event_month=202401")
+            raise RuntimeError("stopped")
+        copy_back(spark, path)
+
+    monkeypatch.setattr(privacy, "_copy_back", stops)
+    with pytest.raises(RuntimeError):
+        privacy.erase_stored(spark, stored, ids(spark, "1"))
+    privacy.erase_stored(spark, stored, ids(spark, "1"))
+    after = read_events(spark, stored)
+    assert after.count() == total - gone and after.filter("user_id = '1'").count() == 0
+    assert spark.read.parquet(f"{stored}-rewrite").count() == 0
