@@ -35,8 +35,10 @@ def recent_per_project(events: DataFrame, n: int = MAX_RECENT) -> DataFrame:
 
 
 def recent_events(events: DataFrame, project_id: str | None, limit: int = DEFAULT_RECENT) -> DataFrame:
-    """A project's newest events (of any project: None), newest first, at most 100."""
-    n = min(limit or DEFAULT_RECENT, MAX_RECENT)
+    """A project's newest events (of any project: None), newest first; a limit above 100 is an error."""
+    n = limit or DEFAULT_RECENT
+    if n > MAX_RECENT:
+        raise ValueError(f"limit must be at most {MAX_RECENT}")
     rows = events if project_id is None else events.filter(F.col("project_id") == project_id)
     return recent_per_project(rows, n).orderBy(F.col("timestamp").desc(), "id").limit(n)
 

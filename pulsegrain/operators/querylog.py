@@ -66,6 +66,9 @@ def latency_histogram(log: DataFrame) -> DataFrame:
 
 
 def query_history(log: DataFrame, user_id: str, project_id: str, limit: int = DEFAULT_HISTORY) -> DataFrame:
-    """A user's newest questions in a project, at most 100."""
+    """A user's newest questions in a project; a limit above 100 is an error."""
+    n = limit or DEFAULT_HISTORY
+    if n > MAX_HISTORY:
+        raise ValueError(f"limit must be at most {MAX_HISTORY}")
     rows = log.filter((F.col("user_id") == user_id) & (F.col("project_id") == project_id))
-    return rows.orderBy(F.col("created_at").desc(), "id").limit(min(limit or DEFAULT_HISTORY, MAX_HISTORY))
+    return rows.orderBy(F.col("created_at").desc(), "id").limit(n)

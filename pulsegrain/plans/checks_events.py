@@ -363,7 +363,7 @@ def _(spark, sf):
 @check("recent_events", "L-1", with_views(BASE) + f"""
 SELECT id, event_name, {T} AS "timestamp" FROM base WHERE project_id = 'p0' ORDER BY base."timestamp" DESC, id LIMIT 100""")
 def _(spark, sf):
-    return paging.recent_events(testbed.base_events(spark, sf), "p0", 500).select("id", "event_name", "timestamp")
+    return paging.recent_events(testbed.base_events(spark, sf), "p0", paging.MAX_RECENT).select("id", "event_name", "timestamp")
 
 
 @check("top_users", "L-2", with_views(BASE) + """

@@ -2,10 +2,13 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from pulsegrain.operators import insights
 from pulsegrain.operators.joins import resolve_project
+from pulsegrain.operators.paging import recent_events
+from pulsegrain.operators.querylog import query_history
 from pulsegrain.operators.shaping import mask_pii, scroll_milestones
 from pulsegrain.schemas import STRICT_NAME_PATTERN
 from pulsegrain.session import work_dir
@@ -78,3 +81,11 @@ def test_dates_are_no_phone_numbers(spark):
     rows = spark.createDataFrame([("on 2024-01-30 12:30 call +49 30 1234567 or 555-123-4567",), (None,), ("",)], "text string")
     out = [r.text for r in mask_pii(rows, "text").collect()]
     assert out == ["on 2024-01-30 12:30 call [phone] or [phone]", None, ""]
+
+
+def test_limits_above_the_maximum_are_errors(spark):
+    rows = spark.createDataFrame([], "id string, project_id string, user_id string, timestamp timestamp, created_at timestamp")
+    with pytest.raises(ValueError):
+        recent_events(rows, "p", 500)
+    with pytest.raises(ValueError):
+        query_history(rows, "u", "p", 101)
