@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pulsegrain.llm import (decontaminate, exact_dedup, language_id, mixing, near_dup, secret_scan, token_count, toxicity,
+from pulsegrain.llm import (decontaminate, exact_dedup, hard_negatives, language_id, mixing, near_dup, packing, prefix_trie, secret_scan, token_count, toxicity,
                             training_order, url_filter)
 from pulsegrain.llm.common import crc_mod, table
 from pulsegrain.session import work_dir
@@ -153,3 +153,59 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return training_order.materialise(docs, work_dir(spark, "shards"))
+
+
+@query
+def op11_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.cut(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    pieces = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.pack(pieces).select("doc_id", "piece", "start", F.col("length").cast("bigint").alias("length"), "ids_crc32", "sequence_id", "offset")
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return hard_negatives.mine(vectors, F.col("id") % 50 == 0)
+
+
+ORACLE["op12_hard_negatives"] = """
+with r as (select vec_id, cast(case when vec_id % 7 = 0 then (label + 1) % 10 else label end as bigint) as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) as q from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, b.vec_id as other, a.label = b.label as same, cast(list_dot_product(a.q, b.q) as bigint) as score
+  from r a, r b where a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+pos as (select anchor_id, other as positive_id, score as positive_score from s where same
+  qualify row_number() over (partition by anchor_id order by score desc, other) <= 5),
+neg as (select p.*, other as negative_id, score as negative_score, row_number() over (partition by p.anchor_id, positive_id order by score desc, other) as n
+  from pos p join s on s.anchor_id = p.anchor_id and not same
+  where 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score)
+select anchor_id, positive_id, cast(n as integer) as rank, negative_id, positive_score, negative_score from neg where n <= 3"""
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.numbered(prefix_trie.turn_keys(table(spark, sf_dir, "conversations")))
+    shared = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9
+    return prefix_trie.prefix_trie(*prefix_trie.rebuilt(turns, F.col("conv_id") - F.col("conv_id") % 5, shared, 8))
+
+
+# A cyclic redundancy check bit by bit, as this SQL has none; then prefixes as lists, and subtrees by comparing them.
+ORACLE["op13_prefix_trie"] = """
+with t as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, turn from conversations where conv_id is not null),
+c as (select conv_id, list({'r': role, 't': text} order by turn nulls first, sha256(strlen(role) || ':' || role || text)) as own from t group by conv_id),
+bits as (select *, flatten(list_transform(range(1, length(conv_id::varchar) + 1), lambda i:
+    list_transform(range(0, 8), lambda j: (ascii(substr(conv_id::varchar, i, 1)) >> j::integer) & 1))) as bits from c),
+h as (select conv_id, own, xor(list_reduce(list_transform(bits, lambda x: x::bigint), lambda a, b:
+    xor(a >> 1, case when xor(a, b) & 1 = 1 then 3988292384 else 0 end), 4294967295), 4294967295) % 9 as h from bits),
+r as (select h.conv_id, list_concat(coalesce(list_slice(b.own, 1, h.h), []), list_slice(h.own, h.h + 1, len(h.own))) as path
+  from h left join c b on b.conv_id = h.conv_id - h.conv_id % 5),
+m as (select conv_id, d, list_slice(path, 1, d) as p, d = len(path) as ends from r, unnest(range(0, len(path) + 1)) as u(d)),
+n as (select p, any_value(d) as depth, min(conv_id) as conv_id, count(*) as n_convs, case when any_value(d) = 0 then 0 else (count(*) - 1) * strlen(p[len(p)].t) end as saved,
+  sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where ends), '')) as ends_sha256 from m group by p),
+k as (select n.*, (select min(conv_id) from n u where n.depth > 0 and u.depth = n.depth - 1 and u.p = list_slice(n.p, 1, n.depth - 1)) as parent_conv_id,
+  (select count(*) from n v where v.depth = n.depth + 1 and list_slice(v.p, 1, n.depth) = n.p) as n_children from n),
+s as (select a.p, sum(case when b.n_children = 0 then 1 else 0 end) as n_leaves, sum(b.saved) as saved_tokens
+  from (select k.*, list_slice(p, 1, j) as above from k, unnest(range(0, depth + 1)) as u(j)) b join k a on a.p = b.above group by a.p)
+select conv_id, depth, parent_conv_id, n_convs, n_children, cast(n_leaves as bigint) as n_leaves, cast(saved_tokens as bigint) as saved_tokens, ends_sha256
+from k join s on s.p = k.p"""
