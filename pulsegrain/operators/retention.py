@@ -1,4 +1,4 @@
-"""Retention at an exact day distance, and cohort matrices by period index."""
+"""Retention at an exact day distance, and cohort matrices by period index: from events, or from stored sketches."""
 
 from __future__ import annotations
 
@@ -11,7 +11,6 @@ from pulsegrain.functions.periods import EXACT_DAYS, AsOf, as_of_column, period_
 from pulsegrain.operators.filters import between_instants, for_project
 
 LOOKBACK_DAYS = 90
-NEWEST_COHORTS = 20
 
 
 def user_periods(events: DataFrame, project_id: str | None, period: str, as_of: AsOf = None,
@@ -36,7 +35,7 @@ def _newest(table: DataFrame, newest: int | None) -> DataFrame:
 
 
 def retention(events: DataFrame, project_id: str | None, period: str = "daily", as_of: AsOf = None,
-              lookback_days: int | None = LOOKBACK_DAYS, newest: int | None = NEWEST_COHORTS) -> DataFrame:
+              lookback_days: int | None = LOOKBACK_DAYS, newest: int | None = None) -> DataFrame:
     """Cohort size, users active exactly 1, 7 or 30 days after the cohort date, and the rate.
 
     Monthly retention compares month starts, so it only sees months of 30 days; ``cohort_matrix``
@@ -52,7 +51,7 @@ def retention(events: DataFrame, project_id: str | None, period: str = "daily",
 
 
 def retention_by_join(events: DataFrame, project_id: str | None, period: str = "daily", as_of: AsOf = None,
-                      lookback_days: int | None = LOOKBACK_DAYS, newest: int | None = NEWEST_COHORTS) -> DataFrame:
+                      lookback_days: int | None = LOOKBACK_DAYS, newest: int | None = None) -> DataFrame:
     """The same table as ``retention``, by joining first-seen users to their activity."""
     rows = user_periods(events, project_id, period, as_of, lookback_days)
     first = rows.groupBy("user_id").agg(F.min("activity_date").alias("first_seen_date"))
@@ -76,5 +75,56 @@ def cohort_matrix(events: DataFrame, project_id: str | None = None, period: str
 
 
 def cohort_grid(matrix: DataFrame, periods: int) -> DataFrame:
-    """The matrix with one column per period index, 0 to ``periods - 1``."""
-    return matrix.groupBy("cohort").pivot("period_index", list(range(periods))).agg(F.first("users"))
+    """The matrix with one column per period index, 0 to ``periods - 1``, and the later cells in ``later``.
+
+    ``later`` is a map from period index to users, NULL where a cohort has none.
+    """
+    first = F.col("period_index") < periods
+    cells = [F.max(F.when(F.col("period_index") == i, F.col("users"))).alias(str(i)) for i in range(periods)]
+    rest = F.sort_array(F.collect_list(F.when(~first, F.struct("period_index", "users"))))  # one entry a period
+    grid = matrix.groupBy("cohort").agg(*cells, rest.alias("later"))
+    return grid.withColumn("later", F.when(F.size("later") > 0, F.map_from_entries("later")))
+
+
+def _period_sets(activity: DataFrame, project_id: str | None, period: str, since: dt.date | None) -> DataFrame:
+    """(cohort, active, first): the users of each period as a set sketch, and those of them not seen before it.
+
+    ``activity`` are partials of the rollup of that name. There is one row a period in the window.
+    """
+    rows = for_project(activity, project_id)
+    if since is not None:
+        rows = rows.filter(F.col("date") >= F.lit(since))
+    sets = rows.groupBy(period_start("date", period).alias("cohort")).agg(F.theta_union_agg("users_theta").alias("active"))
+    before = Window.partitionBy(F.lit(1)).orderBy("cohort").rowsBetween(Window.unboundedPreceding, -1)
+    seen = sets.withColumn("seen", F.theta_union_agg("active").over(before))
+    return seen.select("cohort", "active", F.when(F.col("seen").isNull(), F.col("active"))
+                       .otherwise(F.theta_difference("active", F.col("seen"))).alias("first"))
+
+
+def retention_from_sketches(activity: DataFrame, project_id: str | None, period: str = "daily", since: dt.date | None = None) -> DataFrame:
+    """The table of ``retention`` from stored set sketches: events are not read again, and a new day adds one row of partials.
+
+    A cohort is a period's set without the sets of earlier periods (from ``since`` on); who came back is the intersection
+    of that with a later period's set. Numbers are exact as long as the project has fewer users than the sketch has
+    entries; beyond, the error of each is about the number of all users seen so far, divided by the root of the entries.
+    """
+    sets = _period_sets(activity, project_id, period, since)
+    later = sets.select(F.date_sub("cohort", EXACT_DAYS[period]).alias("cohort"), F.col("active").alias("back"))
+    table = sets.join(later, "cohort", "left").select(
+        F.col("cohort").alias("first_seen_date"), F.theta_sketch_estimate("first").alias("cohort_size"),
+        F.when(F.col("back").isNull(), F.lit(0)).otherwise(F.theta_sketch_estimate(F.theta_intersection("first", "back"))).alias("retained_users"))
+    table = table.filter("cohort_size > 0")
+    return _newest(table.withColumn("retention_rate", percent(F.col("retained_users"), F.col("cohort_size"))), None)
+
+
+def cohort_matrix_from_sketches(activity: DataFrame, project_id: str | None = None, period: str = "monthly", since: dt.date | None = None) -> DataFrame:
+    """The table of ``cohort_matrix`` from stored set sketches (see ``retention_from_sketches``)."""
+    sets = _period_sets(activity, project_id, period, since)
+    reach = sets.agg(F.max("cohort").alias("last")).select("last").scalar()
+    step = {"daily": F.expr("INTERVAL 1 DAY"), "weekly": F.expr("INTERVAL 7 DAYS"), "monthly": F.expr("INTERVAL 1 MONTH")}[period]
+    cells = sets.select("cohort", "first", F.explode(F.sequence("cohort", reach, step)).alias("later"))
+    back = sets.select(F.col("cohort").alias("later"), "active")
+    users = F.theta_sketch_estimate(F.theta_intersection("first", "active"))
+    table = cells.join(back, "later").select("cohort", period_index(F.col("cohort"), F.col("later"), period).alias("period_index"),
+                                             users.alias("users"), F.theta_sketch_estimate("first").alias("_size")).filter("users > 0")
+    return table.withColumn("retention_rate", percent(F.col("users"), F.col("_size"))).drop("_size")

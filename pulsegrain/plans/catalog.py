@@ -53,5 +53,5 @@ def check(name: str, covers: str, sql: str | None = None) -> Callable[[Query], Q
 
 def load() -> dict[str, Entry]:
     """All entries; importing the check modules fills the registry."""
-    from pulsegrain.plans import checks_events, checks_jobs, checks_metrics, checks_series, checks_streams  # noqa: F401
+    from pulsegrain.plans import checks_events, checks_jobs, checks_metrics, checks_rollups, checks_series, checks_streams  # noqa: F401
     return ENTRIES

@@ -142,22 +142,22 @@ FROM firsts LEFT JOIN act USING (user_id) GROUP BY f ORDER BY f DESC LIMIT 20"""
 
 @check("retention_daily", "A-8 X-7", with_views(BASE).rstrip() + _retention_sql("day", 1, "base", "project_id = 'p0'", 90))
 def _(spark, sf):
-    return retention.retention(testbed.base_events(spark, sf), "p0", "daily")
+    return retention.retention(testbed.base_events(spark, sf), "p0", "daily", newest=20)
 
 
 @check("retention_weekly", "A-8", with_views(BASE).rstrip() + _retention_sql("week", 7, "base", "project_id = 'p1'", 90))
 def _(spark, sf):
-    return retention.retention(testbed.base_events(spark, sf), "p1", "weekly")
+    return retention.retention(testbed.base_events(spark, sf), "p1", "weekly", newest=20)
 
 
 @check("retention_monthly", "A-8", with_views(COMMERCE).rstrip() + _retention_sql("month", 30, "commerce", "TRUE", None))
 def _(spark, sf):
-    return retention.retention(testbed.commerce_events(spark, sf), "shop", "monthly", lookback_days=None)
+    return retention.retention(testbed.commerce_events(spark, sf), "shop", "monthly", lookback_days=None, newest=20)
 
 
 @check("retention_by_join", "J-2", with_views(BASE).rstrip() + _retention_sql("day", 1, "base", "project_id = 'p0'", 90))
 def _(spark, sf):
-    return retention.retention_by_join(testbed.base_events(spark, sf), "p0", "daily")
+    return retention.retention_by_join(testbed.base_events(spark, sf), "p0", "daily", newest=20)
 
 
 @check("cohort_matrix", "A-9", with_views(COMMERCE, """act AS (
