@@ -150,11 +150,14 @@ def _sketches(partials: DataFrame) -> list[str]:
 
 
 def merge_rollup(partials: DataFrame, keys: Sequence[str], top_items: int = TOP_ITEMS) -> DataFrame:
-    """Combine partial rows by coarser (or the same) keys: counts add, sketches unite."""
+    """Combine partial rows by coarser (or the same) keys: counts add, sketches unite.
+
+    No partials give no row, also without keys: they are grouped by a constant then, as top lists cannot unite nothing.
+    """
     counts = [f.name for f in partials.schema.fields
               if f.dataType.simpleString() == "bigint" and f.name not in {*keys, "batch_id"}]
-    return partials.groupBy(*keys).agg(
-        *[F.sum(c).alias(c) for c in counts], *[_unite(s, top_items) for s in _sketches(partials)])
+    return partials.groupBy(*keys or [F.lit(1).alias("_all")]).agg(
+        *[F.sum(c).alias(c) for c in counts], *[_unite(s, top_items) for s in _sketches(partials)]).drop("_all")
 
 
 def with_estimates(merged: DataFrame) -> DataFrame:
@@ -210,10 +213,10 @@ def realtime_from_rollup(minutes: DataFrame, project_id: str | None, as_of: AsOf
     merged = with_estimates(merge_rollup(rows, [], top_items))
     tracked = F.call_function("approx_top_k_estimate", F.col("events_top"), F.lit(top_items))
     ranked = F.slice(F.array_sort(F.transform(tracked, lambda e: F.struct((-e["count"]).alias("n"), e["item"].alias("v")))), 1, k)
-    return merged.select(
-        F.coalesce("total_events", F.lit(0)).alias("events"), F.coalesce("approx_users", F.lit(0)).alias("approx_users"),
-        F.coalesce("approx_sessions", F.lit(0)).alias("approx_sessions"),
-        F.coalesce(F.transform(ranked, lambda e: e["v"]), F.array().cast("array<string>")).alias("top_events"))
+    row = merged.withColumn("top_events", F.transform(ranked, lambda e: e["v"]))  # one row, or none
+    return row.agg(*[F.coalesce(F.max(c), F.lit(0)).alias(out) for c, out in (
+        ("total_events", "events"), ("approx_users", "approx_users"), ("approx_sessions", "approx_sessions"))],
+        F.coalesce(F.max("top_events"), F.array().cast("array<string>")).alias("top_events"))
 
 
 def active_users_from_rollup(daily_partials: DataFrame, period: str = "monthly") -> DataFrame:
