@@ -81,7 +81,11 @@ def validate_events(df: DataFrame, strict: bool = False, id_pattern: str | None
     rejected one by one. ``all_or_nothing`` names a batch id column: one bad event then rejects
     its whole batch (of at most a hundred events).
     """
-    judged = judge_events(df, strict, id_pattern)
+    return split_judged(judge_events(df, strict, id_pattern), all_or_nothing)
+
+
+def split_judged(judged: DataFrame, all_or_nothing: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The two parts of ``validate_events``, from rows that have their verdict."""
     bad = F.col("error").isNotNull()
     if all_or_nothing:
         # Rows without a batch id are batches of their own, and are spread by what they hold.

@@ -5,14 +5,16 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from pulsegrain.plans.catalog import check
 from pulsegrain.plans.views import API_KEYS, BASE, JUDGED, RAW, SESSIONS, with_views
 from pulsegrain.session import work_dir
 from pulsegrain.sources import testbed
+from pulsegrain.sources.events import read_events
 from pulsegrain.sources.ingest import parse_events
 from pulsegrain.streaming import ingest, live, rollups
-from pulsegrain.streaming.sources import stream_events
+from pulsegrain.streaming.sources import LateRows, read_late, stream_events, stream_late
 
 TS = "strftime({}, '%Y-%m-%d %H:%M:%S.%f')"
 EV = with_views(BASE, SESSIONS)
@@ -26,14 +28,16 @@ def _replay(spark, rows: DataFrame) -> DataFrame:
     return stream_events(spark, path, 2, rows.schema)
 
 
-def _drain(spark, writer) -> None:
+def _drain(spark, writer) -> StreamingQuery:
     """Run a stream over all waiting data. Its state is divided by the session's cores, as every
     state partition costs a file per micro-batch."""
     key = "spark.sql.shuffle.partitions"
     before = spark.conf.get(key)
     spark.conf.set(key, str(spark.sparkContext.defaultParallelism))
     try:
-        writer.trigger(availableNow=True).start().awaitTermination()
+        query = writer.trigger(availableNow=True).start()
+        query.awaitTermination()
+        return query
     finally:
         spark.conf.set(key, before)
 
@@ -60,7 +64,9 @@ def _(spark, sf):
     raw = raw.withColumn("api_key", F.concat(F.lit("key_"), F.col("user_id")))
     _drain(spark, ingest.stream_ingest(raw, testbed.api_keys(spark, sf), testbed.projects(spark, sf), landing,
                                 work_dir(spark, "rejected"), work_dir(spark, "offsets"), testbed.KEY_AS_OF))
-    return spark.read.parquet(landing).groupBy("project_id", "user_id", "event_name", "platform").agg(
+    table = work_dir(spark, "table")
+    ingest.compact_landing(spark, landing, table)
+    return read_events(spark, table).groupBy("project_id", "user_id", "event_name", "platform").agg(
         F.count("*").alias("events"))
 
 
@@ -100,15 +106,52 @@ def _(spark, sf):
     return _collect(spark, stream, "complete").filter("metric <> 'active_users'")
 
 
+def _in_turn(spark, parts: list[DataFrame]) -> DataFrame:
+    """A stream of the given frames, one to a micro-batch, in this order."""
+    path = work_dir(spark, "arrivals")
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(path)
+    return stream_events(spark, path, 1, parts[0].schema)
+
+
 @check("stream_recent", "ST-7", with_views(BASE) + """
-SELECT project_id, id FROM (SELECT *, max("timestamp") OVER (PARTITION BY project_id) AS newest FROM base)
-WHERE "timestamp" >= newest - INTERVAL 12 HOUR
+SELECT project_id, id FROM base WHERE project_id <> 'p2'
 QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY "timestamp" DESC, id) <= 100""")
 def _(spark, sf):
-    path = work_dir(spark, "recent")
+    """Four batches, half an hour apart; p2 sends in the first only, so its list has ended when the others are read."""
+    path, start = work_dir(spark, "recent"), dt.datetime(2024, 3, 1)
     rows = testbed.base_events(spark, sf).select("project_id", "id", "timestamp", "event_name")
-    _drain(spark, live.stream_recent(_replay(spark, rows), path, work_dir(spark, "offsets"), keep=dt.timedelta(hours=12)))
-    return live.read_recent(spark, path).select("project_id", "id")
+    quarter = F.col("id").cast("bigint") % 4
+    parts = [rows.filter((quarter == i) & (F.lit(i == 0) | (F.col("project_id") != "p2"))) for i in range(4)]
+    at = lambda batch: start + dt.timedelta(minutes=30 * batch)
+    _drain(spark, live.stream_recent(_in_turn(spark, parts), path, work_dir(spark, "offsets"), now=at))
+    return live.read_recent(spark, path, at(4)).select("project_id", "id")
+
+
+@check("stream_late_rows", "ST-11 ST-3", with_views(BASE, """kept AS (SELECT max("timestamp") - INTERVAL 10 MINUTE AS mark FROM base WHERE e % 50 <> 7 AND day("timestamp") <= 20),
+judged AS (SELECT id, e % 50 = 7 AND "timestamp" <= mark AS late FROM base, kept)""") + """
+SELECT id, CASE WHEN late THEN 'late' ELSE 'in time' END AS state FROM judged
+UNION ALL SELECT cast(count(*) FILTER (WHERE late) AS varchar), 'dropped rows' FROM judged""")
+def _(spark, sf):
+    """A watermark of ten minutes; one row in fifty arrives after all others. What was dropped is counted, and kept beside.
+
+    Batches follow without a pause, so the last one is judged by the rows up to the second before it."""
+    rows = testbed.base_events(spark, sf).withColumn("session_id", F.col("user_id"))
+    delayed, day = F.col("id").cast("bigint") % 50 == 7, F.day("timestamp")
+    parts = [rows.filter(~delayed & (day <= 10)), rows.filter(~delayed & day.between(11, 20)), rows.filter(~delayed & (day > 20)), rows.filter(delayed)]
+    out, offsets, beside = (work_dir(spark, n) for n in ("out", "offsets", "late"))
+    listener = LateRows(spark, work_dir(spark, "dropped"))
+    spark.streams.addListener(listener)
+    try:
+        unique = ingest.stream_dedupe(_in_turn(spark, parts), "10 minutes")
+        query = _drain(spark, unique.writeStream.format("parquet").option("path", out).option("checkpointLocation", offsets))
+        _drain(spark, stream_late(_in_turn(spark, parts), beside, work_dir(spark, "offsets"), behind=1))
+        dropped = listener.dropped(query.id)
+    finally:
+        spark.streams.removeListener(listener)
+    kept = spark.read.schema(rows.schema).parquet(out).select("id", F.lit("in time").alias("state"))
+    late = read_late(spark, beside, rows.schema).select("id", F.lit("late").alias("state"))
+    return kept.union(late).union(spark.createDataFrame([(str(dropped), "dropped rows")], kept.schema))
 
 
 @check("stream_rollup_daily", "ST-8 A-23", with_views(BASE) + """

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pulsegrain.functions.periods import AsOf
+from pulsegrain.functions.periods import AsOf, month_key
 from pulsegrain.functions.props import props_key
 from pulsegrain.operators.shaping import enrich
-from pulsegrain.operators.validation import apply_defaults, validate_events
+from pulsegrain.operators.validation import apply_defaults, judge_events, split_judged, validate_events
 from pulsegrain.schemas import ENVELOPE, MAX_BATCH, RAW_EVENT
-from pulsegrain.sources.events import write_events
+from pulsegrain.session import work_dir
+from pulsegrain.sources.events import read_events, write_events
+from pulsegrain.sources.ledger import mark, open_units
+from pulsegrain.sources.store import remove
 
 FIELDS = ("user_id", "event_name", "properties", "timestamp", "session_id", "platform")
 
@@ -23,10 +27,11 @@ def unify_spelling(raw: DataFrame) -> DataFrame:
     }).drop("userId", "eventName", "sessionId")
 
 
-def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """Read JSON lines, one event each. A line that is no JSON gives a row of NULLs, which
-    validation rejects, rather than a failed job."""
-    return unify_spelling(spark.read.schema(RAW_EVENT).json(path))
+def read_raw(spark: SparkSession, *paths: str) -> DataFrame:
+    """Read JSON lines, one event each, with the text of the line (``line``). A line that is no JSON gives a row of
+    NULLs beside its text, which validation rejects, rather than a failed job. Blank lines are skipped."""
+    lines = spark.read.text(list(paths)).filter(F.trim("value") != "")
+    return parse_events(lines.withColumn("line", F.col("value")))
 
 
 def parse_events(df: DataFrame, col: str = "value") -> DataFrame:
@@ -86,10 +91,48 @@ def prepare(raw: DataFrame, context: dict[str, Column | str], as_of: AsOf = None
     return events.withColumn("id", content_id()), rejected
 
 
+def source_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, unit) of the files in a folder; a file that was replaced is another unit. Contents are not read."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select("path", F.concat_ws("|", "path", F.unix_millis("modificationTime").cast("string"), F.col("length").cast("string")).alias("unit"))
+
+
+def without_stored(spark: SparkSession, events: DataFrame, table: str) -> DataFrame:
+    """``events`` without those whose id the touched months of the table already hold."""
+    try:
+        stored = read_events(spark, table)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return events
+    months = [r[0] for r in events.select(month_key("timestamp")).distinct().collect()]  # one row a month
+    return events.join(read_events(spark, table, months).select("id"), "id", "left_anti") if months else events
+
+
 def ingest(spark: SparkSession, json_path: str, context: dict[str, Column | str], sink: str,
-           as_of: AsOf = None, rejected_sink: str | None = None, **rules) -> None:
-    """Append a folder of JSON lines to the event table; rejected rows go to their own folder."""
-    events, rejected = prepare(read_raw(spark, json_path), context, as_of, **rules)
+           as_of: AsOf = None, rejected_sink: str | None = None, ledger: str | None = None,
+           all_or_nothing: str | None = None, **rules) -> int:
+    """Append a folder of JSON lines to the event table; rejected rows, with their text, go to their own folder.
+
+    Each source file is taken once: the ledger (``<sink>-ledger`` unless given) knows the files of earlier runs. A run
+    that was interrupted is made up for by the next: then, ids that are stored already are left out (its rejected rows
+    may come twice). Returns the number of files taken. Verdicts are computed once, staged, and both outputs are read from there.
+    """
+    ledger = ledger or f"{sink.rstrip('/')}-ledger"
+    files = open_units(source_files(spark, json_path), ledger).collect()  # one row a file, as Spark's own listing
+    if not files:
+        return 0
+    units = spark.createDataFrame([(f.unit,) for f in files], "unit string").coalesce(1)
+    mark(units, ledger, done=False)
+    verdicts = work_dir(spark, "verdicts")
+    judge_events(read_raw(spark, *[f.path for f in files]), **rules).write.parquet(verdicts)
+    good, rejected = split_judged(spark.read.parquet(verdicts), all_or_nothing)
+    events = enrich(apply_defaults(good.drop("line"), as_of), context).withColumn("id", content_id())
+    if any(f.begun for f in files):
+        events = without_stored(spark, events, sink)
     write_events(events, sink)
     if rejected_sink:
         rejected.write.mode("append").parquet(rejected_sink)
+    mark(units, ledger, done=True)
+    remove(spark, verdicts)
+    return len(files)

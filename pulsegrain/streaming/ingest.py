@@ -4,47 +4,25 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from pulsegrain.functions.periods import month_key
 from pulsegrain.functions.props import props_key
 from pulsegrain.operators.dedupe import DELIVERY_KEY
 from pulsegrain.operators.joins import resolve_project
 from pulsegrain.operators.shaping import enrich
 from pulsegrain.operators.validation import apply_defaults, judge_events, parse_time
-from pulsegrain.sources.events import conform, read_events, write_events
-from pulsegrain.sources.ingest import delivery_id
-
-
-def replace_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    """Write the rows of one micro-batch under its own partition, replacing an earlier attempt.
-
-    A batch replayed after a failure overwrites what it wrote before, so nothing counts twice.
-    """
-    (df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path))
-
-
-def batch_instant(spark: SparkSession, path: str, batch_id: int) -> dt.datetime:
-    """The instant, in whole milliseconds, at which a micro-batch was first received. It is stored, so a replay of the batch finds the same."""
-    folder = f"{path}/batch={batch_id}"
-    try:
-        known = spark.read.schema("at timestamp").parquet(folder).first()
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        known = None
-    if known is None:  # no folder, or one whose write was cut short
-        spark.sql("SELECT date_trunc('millisecond', current_timestamp()) AS at").write.mode("overwrite").parquet(folder)
-        known = spark.read.schema("at timestamp").parquet(folder).first()
-    return known.at
+from pulsegrain.schemas import EVENTS
+from pulsegrain.sources.events import conform, write_events
+from pulsegrain.sources.ingest import delivery_id, without_stored
+from pulsegrain.sources.ledger import mark, open_units
+from pulsegrain.sources.store import folders
+from pulsegrain.streaming.batches import batch_instant, last_batches, note_batch, replace_batch, run_of
 
 
 def stream_ingest(raw: DataFrame, api_keys: DataFrame, projects: DataFrame, landing: str, rejected: str,
                   checkpoint: str, as_of: dt.datetime | None = None, key: str = "api_key", **rules) -> DataStreamWriter:
-    """Writer that lands valid events by micro-batch, and rejected ones beside them.
+    """Writer that lands valid events by run and micro-batch, and rejected ones beside them.
 
     ``raw`` carries the client fields and an API key. Validation is computed once per batch: the
     verdicts are written as they are evaluated, and both outputs are read back from that.
@@ -52,7 +30,7 @@ def stream_ingest(raw: DataFrame, api_keys: DataFrame, projects: DataFrame, land
     instant, to process a recorded stream again. Each received event has its own id, also where contents are equal:
     repeated deliveries are the matter of ``stream_dedupe``.
     """
-    instants = f"{checkpoint.rstrip('/')}/received"
+    instants, run = f"{checkpoint.rstrip('/')}/received", run_of(raw.sparkSession, checkpoint)
 
     def land(batch: DataFrame, batch_id: int) -> None:
         received = batch_instant(batch.sparkSession, instants, batch_id)
@@ -62,33 +40,39 @@ def stream_ingest(raw: DataFrame, api_keys: DataFrame, projects: DataFrame, land
             good = judged.filter(F.col("error").isNull()).drop("field", "error").withColumns({
                 "properties": F.from_json("properties", "map<string,string>"), "timestamp": parse_time("timestamp")})
             known = resolve_project(apply_defaults(good, now), api_keys, projects, now, key)
-            events = enrich(known, {}).withColumn("id", delivery_id(F.lit(received), F.lit(batch_id), F.col("_position")))
-            replace_batch(conform(events), landing, batch_id)
-            replace_batch(judged.filter(F.col("error").isNotNull()).drop("_position"), rejected, batch_id)
+            events = enrich(known, {}).withColumn("id", delivery_id(F.lit(run), F.lit(received), F.lit(batch_id), F.col("_position")))
+            replace_batch(conform(events), landing, batch_id, run)
+            replace_batch(judged.filter(F.col("error").isNotNull()).drop("_position"), rejected, batch_id, run)
+            note_batch(batch.sparkSession, landing, run, batch_id)
         finally:
             judged.unpersist()
 
     return raw.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
 
 
-def compact_landing(spark: SparkSession, landing: str, table: str, first: int, last: int) -> None:
-    """Append landed batches ``first`` to ``last`` to the monthly event table.
+def compact_landing(spark: SparkSession, landing: str, table: str, ledger: str | None = None) -> int:
+    """Append the landed batches that are new since the last call to the monthly event table; returns their number.
 
-    Every landed event is kept, as its id is its own. Only ids the touched months lack are added: running the
-    job again after a failure changes nothing.
+    Only their folders are read, while the stream goes on. The ledger (``<table>-landed`` unless given) knows the batches
+    taken before. If a call was interrupted, the next one takes its batches again without the ids that are stored by now.
+    Every landed event is kept, as its id is its own.
     """
-    landed = fresh = spark.read.parquet(landing).filter(F.col("batch_id").between(first, last))
-    try:
-        stored = read_events(spark, table)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        stored = None
-    if stored is not None:
-        months = [r[0] for r in landed.select(month_key("timestamp")).distinct().collect()]
-        present = stored.filter(F.col("event_month").isin(months)).select("id")
-        fresh = fresh.join(present, "id", "left_anti")
-    write_events(fresh, table)
+    ledger = ledger or f"{table.rstrip('/')}-landed"
+    found = [(f"{run}/{b}", f"{landing}/run={run}/batch_id={b}") for run, last in last_batches(spark, landing).items()
+             for b in folders(spark, f"{landing}/run={run}", "batch_id") if int(b) <= last]
+    if not found:
+        return 0
+    units = open_units(spark.createDataFrame(found, "unit string, path string"), ledger).collect()  # one row a batch
+    if not units:
+        return 0
+    taken = spark.createDataFrame([(u.unit,) for u in units], "unit string").coalesce(1)
+    mark(taken, ledger, done=False)
+    events = spark.read.schema(EVENTS).parquet(*[u.path for u in units])
+    if any(u.begun for u in units):
+        events = without_stored(spark, events, table)
+    write_events(events, table)
+    mark(taken, ledger, done=True)
+    return len(units)
 
 
 def stream_dedupe(df: DataFrame, within: str = "1 hour") -> DataFrame:

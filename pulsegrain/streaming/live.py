@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.types import StructType
 
 from pulsegrain.operators.filters import apply_filters, for_project
 from pulsegrain.operators.metrics import PAGE_VIEW, approx_users
 from pulsegrain.operators.paging import MAX_RECENT, recent_per_project
+from pulsegrain.sources.store import folders, pointed, publish, remove
+from pulsegrain.streaming.batches import batch_instant, run_of
 from pulsegrain.streaming.sources import WATERMARK
 
 # Allowed requests per minute.
@@ -61,46 +61,47 @@ def rate_audit(df: DataFrame, key: str, limit: int = RATE_LIMITS["events"], widt
             .select(key, F.col("_w.start").alias("window_start"), "requests"))
 
 
-def stored_schema(batch: DataFrame) -> StructType:
-    """The batch's schema plus the marker of the batch that stored a row."""
-    return batch.withColumn("_batch", F.lit(0).cast("bigint")).schema
-
-
-def _slot(spark: SparkSession, path: str, batch_id: int, schema: StructType) -> DataFrame | None:
-    """Rows stored by exactly the given batch, None when there are none."""
-    try:
-        rows = spark.read.schema(schema).parquet(f"{path}/slot={batch_id % 2}")
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
-    return rows.filter(F.col("_batch") == batch_id).drop("_batch")
-
-
 def stream_recent(df: DataFrame, path: str, checkpoint: str, n: int = MAX_RECENT,
-                  keep: dt.timedelta = dt.timedelta(hours=1)) -> DataStreamWriter:
-    """Writer keeping every project's newest ``n`` events, none older than ``keep``.
-
-    Two slots are used in turn: batch b reads the slot of batch b - 1 and overwrites its own, so a
-    replayed batch starts from the same rows. A slot holds at most ``n`` rows per project.
-    Age is counted from the newest event of the project.
+                  keep: dt.timedelta = dt.timedelta(hours=1), now: Callable[[int], dt.datetime] | None = None) -> DataStreamWriter:
+    """Writer keeping every project's newest ``n`` events, and when its list ends: ``keep`` after the last push.
+
+    Each batch writes a generation of its own and then names it in a pointer that is replaced in one step, so a reader
+    never sees a part. A batch that is replayed starts from the generation before it again. Lists that have ended are left
+    out of the next generation, and the reader leaves them out from their end on, also while nothing arrives. A
+    generation holds at most ``n`` rows a project; older ones are removed, but for the last two, which a
+    reader may still hold. ``now`` gives the instant of a batch, to process a recorded stream again.
     """
+    instants, run = f"{checkpoint.rstrip('/')}/received", run_of(df.sparkSession, checkpoint)
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        before = _slot(spark, path, batch_id - 1, stored_schema(batch))
-        rows = batch if before is None else batch.unionByName(before)
+        at = now(batch_id) if now else batch_instant(spark, instants, batch_id)
+        state = pointed(spark, _pointer(path)) or {"name": None, "before": None}
+        name = f"{run}-{batch_id}"
+        before = state["before"] if state["name"] == name else state["name"]
+        rows = batch.withColumn("expires_at", F.lit(at + keep).cast("timestamp"))
+        if before is not None:
+            stored = spark.read.schema(rows.schema).parquet(f"{path}/{before}").filter(F.col("expires_at") > F.lit(at))
+            rows = rows.unionByName(stored)
         recent = recent_per_project(rows, n)
-        newest = recent.groupBy("project_id").agg(F.max("timestamp").alias("_newest"))
-        fresh = (recent.join(newest, "project_id").filter(F.col("timestamp") >= F.col("_newest") - F.lit(keep))
-                 .drop("_newest").withColumn("_batch", F.lit(batch_id).cast("bigint")))
-        fresh.write.mode("overwrite").parquet(f"{path}/slot={batch_id % 2}")
+        ends = rows.groupBy("project_id").agg(F.max("expires_at").alias("expires_at"))  # a push renews the whole list
+        recent.drop("expires_at").join(ends, "project_id").select(rows.columns).write.mode("overwrite").parquet(f"{path}/{name}")
+        publish(spark, _pointer(path), {"name": name, "before": before})
+        for old in folders(spark, path, ""):
+            if old not in (name, before, state["before"]):
+                remove(spark, f"{path}/{old}")
 
     return df.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint)
 
 
-def read_recent(spark: SparkSession, path: str) -> DataFrame:
-    """The rows stored by the newest batch."""
-    rows = spark.read.parquet(path)
-    last = rows.select(F.max("_batch")).scalar()
-    return rows.filter(F.col("_batch") == last).drop("_batch", "slot")
+def _pointer(path: str) -> str:
+    return f"{path.rstrip('/')}-newest"
+
+
+def read_recent(spark: SparkSession, path: str, at: dt.datetime | None = None) -> DataFrame:
+    """The lists that have not ended at an instant (now, unless given); an error before the first batch."""
+    state = pointed(spark, _pointer(path))
+    if state is None:
+        raise ValueError(f"nothing was stored in {path} yet")
+    when = F.current_timestamp() if at is None else F.lit(at).cast("timestamp")
+    return spark.read.parquet(f"{path}/{state['name']}").filter(F.col("expires_at") > when).drop("expires_at")

@@ -15,6 +15,7 @@ from pulsegrain.session import work_dir
 from pulsegrain.sources.events import read_events
 from pulsegrain.sources.ingest import content_id
 from pulsegrain.streaming import ingest
+from pulsegrain.streaming.batches import batch_instant
 
 
 def test_one_project_per_event_with_duplicate_hashes(spark):
@@ -46,11 +47,11 @@ def test_equal_events_without_a_time_are_all_stored(spark):
     raw = spark.readStream.schema(RAW).option("maxFilesPerTrigger", 1).parquet(source)
     ingest.stream_ingest(raw, keys, projects, landing, rejected, checkpoint).trigger(availableNow=True).start().awaitTermination()
     for _ in range(2):
-        ingest.compact_landing(spark, landing, table, 0, 1)
+        ingest.compact_landing(spark, landing, table)
         stored = read_events(spark, table).collect()
         assert len(stored) == len({r.id for r in stored}) == 5
     assert len({r.timestamp for r in stored}) == 3  # one instant a batch, and the client's own time
-    assert ingest.batch_instant(spark, f"{checkpoint}/received", 1) in {r.timestamp for r in stored}
+    assert batch_instant(spark, f"{checkpoint}/received", 1) in {r.timestamp for r in stored}
 
 
 def test_ids_keep_fields_apart(spark):

@@ -83,14 +83,31 @@ def test_json_rows(spark, tmp_path):
     assert [r.value for r in spark.read.text(str(tmp_path / "out")).collect()] == ['{"a":1,"b":null}', '{"a":2,"b":"x"}']
 
 
-def test_ingest_job_is_repeatable_by_id(spark, small_dir):
+def test_ingest_takes_each_file_once(spark, small_dir):
     source, sink, bad = (work_dir(spark, n) for n in ("raw", "sink", "bad"))
-    testbed.raw_json(spark, small_dir).select("value").write.text(source)
-    for _ in range(2):
-        ingest(spark, source, {"project_id": "p"}, sink, dt.datetime(2024, 3, 1), bad)
+    testbed.raw_json(spark, small_dir).select("value").repartition(2).write.text(source)
+    args = (spark, source, {"project_id": "p"}, sink, dt.datetime(2024, 3, 1), bad)
+    assert [ingest(*args), ingest(*args)] == [2, 0]
     rows = read_events(spark, sink)
-    assert rows.count() == 2 * rows.select("id").distinct().count()
+    stored = rows.count()
+    assert stored == rows.select("id").distinct().count() > 0
     assert spark.read.parquet(bad).filter("error IS NULL").count() == 0
+    spark.createDataFrame([('{"user_id":"new","event_name":"e","timestamp":"2024-01-02T00:00:00Z"}',), ("no json",), ("",)], "value string").coalesce(1).write.mode("append").text(source)
+    assert ingest(*args) == 1 and read_events(spark, sink).count() == stored + 1
+    assert "no json" in {r.line for r in spark.read.parquet(bad).collect()}
+
+
+def test_an_interrupted_ingest_is_made_up_for(spark, small_dir):
+    from pulsegrain.sources.ingest import source_files
+    from pulsegrain.sources.ledger import mark
+    source, sink, ledger = (work_dir(spark, n) for n in ("raw", "sink", "ledger"))
+    testbed.raw_json(spark, small_dir).select("value").repartition(3).write.text(source)
+    args = (spark, source, {"project_id": "p"}, sink, dt.datetime(2024, 3, 1))
+    assert ingest(*args) == 3
+    stored = read_events(spark, sink).count()
+    mark(source_files(spark, source), ledger, done=False)  # the rows were stored, and then the driver died
+    assert ingest(*args, ledger=ledger) == 3 and read_events(spark, sink).count() == stored
+    assert ingest(*args, ledger=ledger) == 0
 
 
 def test_events_without_a_time_are_erased_too(spark):

@@ -13,7 +13,7 @@ from pulsegrain.sources import testbed
 from pulsegrain.sources.events import conform, read_events
 from pulsegrain.sources.ingest import parse_events
 from pulsegrain.streaming import ingest, live, rollups
-from pulsegrain.streaming.sources import late_rows, micro_batch, stream_events
+from pulsegrain.streaming.sources import LateRows, micro_batch, read_late, stream_events, stream_late
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -43,16 +43,16 @@ def test_rollup_written_twice_counts_once(spark, events, name):
     halves = [events.filter(F.crc32("id") % 2 == i) for i in (0, 1)]
     for attempt in range(2):
         for i, half in enumerate(halves):
-            ingest.replace_batch(rollups.partial_of(half, name), path, i)
+            rollups.store_partial(half, name, path, i, "run")
     merged = rollups.read_rollup(spark, path, name)
     exact = batch_rollups.rollup_sessions(events) if name == "sessions" else batch_rollups.rollup_exact(events, name)
     count = "events_count" if name == "sessions" else batch_rollups.rollup_specs()[name].count
     keys = list(batch_rollups.SESSION_KEYS) if name == "sessions" else list(batch_rollups.rollup_specs()[name].keys)
     assert {tuple(r) for r in merged.select(*keys, count).collect()} == {tuple(r) for r in exact.select(*keys, count).collect()}
-    compacted = work_dir(spark, "compacted")
-    rollups.compact_rollup(spark, path, name, compacted)
-    again = rollups.read_rollup(spark, compacted, name)
-    assert {tuple(r) for r in again.select(*keys, count).collect()} == {tuple(r) for r in exact.select(*keys, count).collect()}
+    for generation in (1, 1):
+        assert rollups.compact_rollup(spark, path, name) == generation
+        again = rollups.read_rollup(spark, path, name)
+        assert {tuple(r) for r in again.select(*keys, count).collect()} == {tuple(r) for r in exact.select(*keys, count).collect()}
 
 
 def test_merged_sketches_are_close_where_sums_are_not(spark, events):
@@ -69,28 +69,43 @@ def test_recent_equals_batch_and_survives_replay(spark, events):
               events.filter(F.day("timestamp") > 20)]
     source = feed(spark, frames)
     stream = stream_events(spark, f"{source}/*", 1).drop("properties")
-    run(live.stream_recent(stream, path, checkpoint, n=20, keep=dt.timedelta(days=400)))
+    run(live.stream_recent(stream, path, checkpoint, n=20))
     expected = {r.id for r in recent_per_project(events, 20).collect()}
     assert {r.id for r in live.read_recent(spark, path).collect()} == expected
 
 
-def test_late_row_is_dropped_and_counted(spark):
+def test_late_rows_are_counted_over_restarts_and_kept(spark):
     rows = [("p", "u", T0 + dt.timedelta(minutes=m)) for m in range(9)]
     schema = "project_id string, user_id string, timestamp timestamp"
     early = spark.createDataFrame(rows, schema)
-    far = spark.createDataFrame([("p", "u", T0 + dt.timedelta(hours=5))], schema)
+    far = spark.createDataFrame([("p", "u", T0 + dt.timedelta(hours=5)), ("p", "u", None)], schema)
     late = spark.createDataFrame([("p", "u", T0)], schema)
-    path, out = work_dir(spark, "arrivals"), work_dir(spark, "out")
-    checkpoint = work_dir(spark, "offsets")
-    dropped = 0
-    for i, frame in enumerate((early, far, late)):
+    path, out, beside, totals = (work_dir(spark, n) for n in ("arrivals", "out", "late", "totals"))
+    checkpoint, other = work_dir(spark, "offsets"), work_dir(spark, "offsets")
+    for frame in (early, far, late, late):
         frame.coalesce(1).write.mode("append").parquet(path)
         stream = spark.readStream.schema(schema).parquet(path)
+        listener = LateRows(spark, totals)  # as after a restart of the driver
+        spark.streams.addListener(listener)
         query = run(live.rate_audit(stream, "user_id", 0, "1 hour", "10 minutes").writeStream.format("parquet")
                     .option("path", out).option("checkpointLocation", checkpoint))
-        dropped += late_rows(query)
-    assert dropped == 1
+        dropped = listener.dropped(query.id)
+        spark.streams.removeListener(listener)
+        run(stream_late(stream, beside, other))
+    assert dropped == 2
     assert [r.requests for r in spark.read.parquet(out).collect()] == [9]
+    assert [r.timestamp for r in read_late(spark, beside, early.schema).collect()] == [T0, T0]
+
+
+def test_reports_of_many_batches_add_up_once(spark):
+    path = work_dir(spark, "totals")
+    first = LateRows(spark, path)
+    for batch in range(150):
+        first.count("q", batch, [batch % 3, 1])
+    again = LateRows(spark, path)
+    again.count("q", 149, [5])
+    again.count("q", 150, [4])
+    assert again.dropped("q") == sum(b % 3 + 1 for b in range(150)) + 4 and again.dropped("other") == 0
 
 
 def test_dedupe_across_batches(spark, events):
@@ -121,9 +136,8 @@ def test_stream_ingest_equals_batch_and_compaction_repeats_safely(spark, small_d
     assert _bad == refused.count() and stored.count() <= valid.count()
     table, unique = work_dir(spark, "table"), stored.count()
     assert stored.select("id").distinct().count() == unique
-    ingest.compact_landing(spark, landing, table, 0, 0)
-    for _ in range(2):
-        ingest.compact_landing(spark, landing, table, 0, 2)
+    for taken in (3, 0):
+        assert ingest.compact_landing(spark, landing, table) == taken
         assert read_events(spark, table).count() == unique
     assert set(EVENTS.names) < set(read_events(spark, table).columns)
 
@@ -138,3 +152,76 @@ def test_metric_updates_and_feed(spark, events):
     assert total == events.count()
     assert live.live_feed(events, "p0", {"platform": "web", "k": "1"}).count() == events.filter(
         "project_id = 'p0' AND platform = 'web' AND properties['k'] = '1'").count()
+
+
+def test_a_new_checkpoint_on_the_same_landing_loses_nothing(spark):
+    schema = "user_id string, event_name string, properties string, timestamp string, session_id string, platform string, api_key string"
+    landing, rejected, table = (work_dir(spark, n) for n in ("landing", "rejected", "table"))
+    keys = spark.createDataFrame([("p1", "k", True, dt.datetime(2999, 1, 1))], "project_id string, raw string, is_active boolean, expires_at timestamp").withColumn(
+        "key_hash", F.sha2("raw", 256))
+    projects = spark.createDataFrame([("p1", "one")], "id string, name string")
+    for start, name in enumerate(("a", "b")):
+        source = work_dir(spark, "raw")
+        spark.createDataFrame([(f"u{i}", name, None, "2024-01-05T00:00:00Z", "s", "web", "k") for i in range(3 - start)], schema).coalesce(1).write.parquet(source)
+        raw = spark.readStream.schema(schema).parquet(source)
+        run(ingest.stream_ingest(raw, keys, projects, landing, rejected, work_dir(spark, "offsets")))  # each counts from batch 0
+        assert ingest.compact_landing(spark, landing, table) == 1
+    assert sorted((r.user_id, r.event_name) for r in read_events(spark, table).collect()) == [("u0", "a"), ("u0", "b"), ("u1", "a"), ("u1", "b"), ("u2", "a")]
+    # A call that was cut short after it had stored its rows is made up for without storing them twice.
+    from pulsegrain.sources.ledger import mark, read_ledger
+    ledger = work_dir(spark, "ledger")
+    mark(read_ledger(spark, f"{table}-landed").select("unit").distinct(), ledger, done=False)
+    assert ingest.compact_landing(spark, landing, table, ledger) == 2 and read_events(spark, table).count() == 5
+
+
+def test_rollup_is_compacted_in_the_middle_of_a_stream(spark, events):
+    frames = [events.filter(F.crc32("id") % 6 == i) for i in range(6)]
+    moved = [f.withColumn("timestamp", F.col("timestamp") + F.make_interval(months=F.lit(i // 3))) for i, f in enumerate(frames)]
+    path, checkpoint, source = work_dir(spark, "rollup"), work_dir(spark, "offsets"), work_dir(spark, "feed")
+    total, seen = 0, []
+    for i, frame in enumerate(moved):
+        frame.coalesce(1).write.parquet(f"{source}/part={i}")
+        if i == 0:
+            schema = spark.read.parquet(f"{source}/part=0").schema
+        run(rollups.stream_rollup(stream_events(spark, f"{source}/*", 1, schema), "daily", path, checkpoint))
+        total += frame.count()
+        open_read = rollups.read_rollup(spark, path, "daily")
+        if i % 2:
+            seen.append(rollups.compact_rollup(spark, path, "daily"))
+        assert open_read.agg(F.sum("total_events")).first()[0] == total  # planned before the compaction
+        assert rollups.read_rollup(spark, path, "daily").agg(F.sum("total_events")).first()[0] == total
+    assert seen == [1, 2, 3]
+    months = sorted({r.m for r in rollups.read_rollup(spark, path, "daily").select(F.date_format("date", "yyyyMM").alias("m")).collect()})
+    for month in months:
+        part = rollups.read_rollup(spark, path, "daily", [month])
+        assert part.count() == rollups.read_rollup(spark, path, "daily").filter(F.date_format("date", "yyyyMM") == month).count()
+        assert all(f"month={month}" in f for f in part.inputFiles())
+    assert rollups.read_rollup(spark, path, "daily", ["199901"]).count() == 0
+
+
+def test_a_batch_that_is_not_whole_is_not_read(spark, events):
+    path = work_dir(spark, "rollup")
+    rollups.store_partial(events, "daily", path, 0, "run")
+    from pulsegrain.streaming.batches import replace_batch
+    partial = rollups.partial_of(events, "daily").withColumn("month", F.date_format("date", "yyyyMM"))
+    replace_batch(partial, f"{path}/live", 1, "run", ["month"])  # and then the driver died
+    for _ in range(2):
+        assert rollups.read_rollup(spark, path, "daily").agg(F.sum("total_events")).first()[0] == events.count()
+        rollups.compact_rollup(spark, path, "daily")
+    rollups.store_partial(events, "daily", path, 1, "run")
+    assert rollups.read_rollup(spark, path, "daily").agg(F.sum("total_events")).first()[0] == 2 * events.count()
+
+
+def test_lists_of_idle_projects_end(spark):
+    schema = "project_id string, id string, timestamp timestamp"
+    path, checkpoint, source = work_dir(spark, "recent"), work_dir(spark, "offsets"), work_dir(spark, "feed")
+    at = lambda batch: T0 + dt.timedelta(minutes=40 * batch)
+    with pytest.raises(ValueError):
+        live.read_recent(spark, path)
+    for batch, rows in enumerate(([("idle", "a"), ("live", "b")], [("live", "c")], [("live", "d")])):
+        spark.createDataFrame([(p, i, T0 - dt.timedelta(days=batch)) for p, i in rows], schema).coalesce(1).write.mode("append").parquet(source)
+        run(live.stream_recent(spark.readStream.schema(schema).parquet(source), path, checkpoint, n=2, now=at))
+        ids = lambda when: sorted(r.id for r in live.read_recent(spark, path, when).collect())  # noqa: E731, B023
+        if batch == 1:
+            assert ids(at(1)) == ["a", "b", "c"] and ids(T0 + dt.timedelta(minutes=61)) == ["b", "c"]
+    assert ids(at(2)) == ["b", "c"] and ids(at(4)) == []  # the newest two by time; and nothing an hour after the last push
