@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pulsegrain.session import work_dir
+from pulsegrain.sources.store import remove
 
 SPACES = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACES}]+"
@@ -16,10 +20,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def staged(spark: SparkSession, df: DataFrame, name: str, **options: str) -> DataFrame:
+_open: list[list[str]] = []  # folders staged inside each open block, the innermost block last
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The folders that ``staged`` makes inside the block, for the caller to remove when their readers are done."""
+    made: list[str] = []
+    _open.append(made)
+    try:
+        yield made
+    finally:
+        _open.pop()
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Folders staged inside the block are removed at its end, also after an error, but for ``lasting`` ones."""
+    with recorded() as made:
+        try:
+            yield
+        finally:
+            for path in made:
+                remove(spark, path)
+
+
+def staged(spark: SparkSession, df: DataFrame, name: str, lasting: bool = False, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later jobs neither recompute it nor lose it
-    with an executor."""
+    with an executor. ``lasting`` tables outlive the innermost block they are made in."""
     path = work_dir(spark, name)
+    if len(_open) > lasting:
+        _open[-1 - lasting].append(path)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -8,7 +8,8 @@
    confirmed on their full shingle sets, made again from the texts.
 3. Confirmed links give components. Buckets whose nodes then lie in several components are not finished: there, nodes
    outside the bucket's largest component meet the nodes of other components. In buckets of more than ``large`` nodes
-   they do so only where their differences allow a link (``_by_difference``). Components are then made from all links.
+   they do so only where their differences allow a link, which the differences then decide (``_by_difference``).
+   Components are then made from all links. Tables that are not part of the result are removed on the way.
 
 A pair at the threshold shares no band with a probability of 3e-6; a batch drops it with at most ``miss``. Nothing else
 is lost: there is no limit on buckets, candidates or group sizes.
@@ -30,9 +31,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pulsegrain.llm.common import LOWERED, staged
+from pulsegrain.llm.common import LOWERED, passing, staged
 from pulsegrain.llm.components import components
 from pulsegrain.session import work_dir
+from pulsegrain.sources.store import remove
 
 SIGNED = "n bigint, digest binary, signature binary, bands array<bigint>"
 REMEMBERED = 1 << 20
@@ -77,6 +79,12 @@ class Shingler:
         return np.unique(mixed)
 
 
+def signature(low: np.ndarray) -> bytes:
+    """One byte of each minimum. The more values, the nearer to zero their minimum: its upper bytes say little, so it is
+    mixed first. Different minima still agree in a byte with a chance of 1 in 256."""
+    return ((low * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).tobytes()
+
+
 class Signer:
     def __init__(self, s: Settings):
         draw = np.random.default_rng(s.seed)
@@ -100,16 +108,17 @@ class Signer:
             keys = (keys ^ rows[:, j]) * self.band[j]
             keys ^= keys >> np.uint64(32)
         return {"n": len(shingles), "digest": xxhash.xxh3_128_digest(shingles.tobytes()),
-                "signature": (low >> np.uint32(24)).astype(np.uint8).tobytes(), "bands": keys.view(np.int64)}
+                "signature": signature(low), "bands": keys.view(np.int64)}
 
 
 def least_matches(s: Settings) -> list[tuple[int, int]]:
     """(values compared, fewest equal ones with which the posterior chance of the threshold is at least ``miss``).
 
-    With a uniform prior, the chance that the similarity is at least t after m of n equal values is that of at most
-    m successes in n + 1 trials of t.
+    Bytes are equal with a chance of t + (1 - t) / 256 at similarity t. With a uniform prior, the chance that the
+    similarity is at least t after m of n equal values is that of at most m successes in n + 1 trials of this.
     """
     t, total, out = s.percent / 100, s.rows * s.bands, []
+    t += (1 - t) / 256
     for n in [*range(s.batch, total, s.batch), total]:
         chance, m = 0.0, -1
         while chance < s.miss:
@@ -184,12 +193,12 @@ def _confirmed(pairs: DataFrame, by_uid: DataFrame, s: Settings) -> DataFrame:
     return staged(spark, both.where(_similar_udf(s)(F.col("ta"), F.col("tb"))).select("a", "b"), "links")
 
 
-def _by_uid(base: DataFrame, text: Column, name: str) -> DataFrame:
+def _by_uid(base: DataFrame, text: Column, name: str, place: str) -> DataFrame:
     """(uid, signature, body) as a table bucketed by uid: texts are moved once, later joins on uid leave them where they are."""
     spark = base.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = base.where("n > 0").select("uid", "signature", text.alias("body")).repartition(n, "uid")
-    rows.write.bucketBy(n, "uid").sortBy("uid").options(path=work_dir(spark, "by-uid"), compression="zstd").saveAsTable(name)
+    rows.write.bucketBy(n, "uid").sortBy("uid").options(path=place, compression="zstd").saveAsTable(name)
     return spark.table(name)
 
 
@@ -227,7 +236,7 @@ def _difference_udf(s: Settings):
 
 
 def _by_difference(members: DataFrame, by_uid: DataFrame, s: Settings) -> DataFrame:
-    """(a, b) of one group (reference, uid, n, component, times), in different components, which can be links.
+    """The links (a, b) of one group (reference, uid, n, component, times), in different components.
 
     The group's core r is its member in most buckets, less and plus what differs from it in most members. With the differences
     X = x ^ r and Y = y ^ r, x ^ y = X ^ Y. Sets are linked if |x ^ y| <= c (|x| + |y|), c = (100 - percent) / (100 + percent):
@@ -236,7 +245,7 @@ def _by_difference(members: DataFrame, by_uid: DataFrame, s: Settings) -> DataFr
     needs |X & Y| >= (u(x) + u(z)) / 2 and, as |Y| >= |X & Y|, |X & Y| >= (u(x) - c |r|) / (1 + c); a partner y of such an x
     needs |X & Y| > (u(y) - u(z)) / 2. Of two sets with k common elements, one is left in both after taking away the k - 1
     commonest from each: only nodes that share one of these rarer differences are paired. In a group of near copies
-    these are the few that have the same edits.
+    these are the few that have the same edits. Pairs are decided by |x ^ y| = |X| + |Y| - 2 |X & Y|, without texts.
     """
     spark, c = by_uid.sparkSession, (100 - s.percent) / (100 + s.percent)
     central = members.groupBy(F.col("reference").alias("r")).agg(F.max(F.struct("times", "uid"))["uid"].alias("pivot"), F.count(F.lit(1)).alias("size"))
@@ -262,9 +271,10 @@ def _by_difference(members: DataFrame, by_uid: DataFrame, s: Settings) -> DataFr
     core = staged(spark, core.join(least, F.col("reference") == F.col("r")).select(
         "reference", "uid", "n", "component", "d", "u", F.col("z.uid").alias("z"), F.col("z.component").alias("cz"), (u + uz > 1e-6).alias("far"),
         need(F.greatest((u + uz) / 2, (u - c * F.col("m")) / (1 + c))).alias("need_x"), need((u - uz) / 2).alias("need_y")), "bounded-differences")
-    direct = core.where("not far and component != cz").select(F.least("uid", "z").alias("a"), F.greatest("uid", "z").alias("b"))
+    direct = core.where("not far and component != cz").select("reference", F.least("uid", "z").alias("a"), F.greatest("uid", "z").alias("b"))
 
-    each = core.select("reference", "uid", F.explode("d").alias("e"))
+    # No difference has a place beyond their number, so a node with fewer than it needs has no partner.
+    each = core.where("size(d) >= least(need_x, need_y)").select("reference", "uid", F.explode("d").alias("e"))
     # From the core differ, in a usual element, those members that do not differ in it from the pivot.
     shared = often.select(F.col("reference").alias("r"), F.col("e").alias("f"), F.expr("if(2 * often > size, size - often, often)").alias("often")).where("often > 1")
     common = Window.partitionBy("reference", "uid").orderBy(F.desc("often"), "e")
@@ -275,11 +285,18 @@ def _by_difference(members: DataFrame, by_uid: DataFrame, s: Settings) -> DataFr
     x = ranked.where("far and place >= need_x").select("reference", "e", *name("x"))
     y = ranked.where("place >= need_y").select(F.col("reference").alias("r"), F.col("e").alias("f"), *name("y"))
     pairs = x.join(y, F.expr("reference = r and e = f and componentx != componenty and 2 * least(ndx, ndy) >= ux + uy - 1e-6") & _sized("nx", "ny", s))
-    return direct.union(pairs.select(F.least("uidx", "uidy").alias("a"), F.greatest("uidx", "uidy").alias("b"))).distinct()
-
-
-def _rest(open_: DataFrame, by_uid: DataFrame, member: DataFrame, s: Settings) -> DataFrame:
-    """(a, b) of one bucket, in different components, not both in the bucket's largest one."""
+    pairs = direct.union(pairs.select("reference", F.least("uidx", "uidy").alias("a"), F.greatest("uidx", "uidy").alias("b"))).distinct()
+    pairs = staged(spark, pairs, "difference-pairs")
+    side = lambda end: core.select(F.col("reference").alias("r"), F.col("uid").alias(end), F.col("n").alias(f"n{end}"), F.col("d").alias(f"d{end}"))
+    first = pairs.join(side("a").withColumnRenamed("r", "reference"), ["reference", "a"])
+    both = first.join(side("b").withColumnRenamed("r", "reference"), ["reference", "b"])
+    apart = F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db"))
+    linked = 100 * (F.col("na") + F.col("nb") - apart) >= s.percent * (F.col("na") + F.col("nb") + apart)
+    return staged(spark, both.where(linked).select("a", "b").distinct(), "difference-links")
+
+
+def _rest(open_: DataFrame, by_uid: DataFrame, member: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """Of one bucket, in different components, not both in the bucket's largest one: pairs (a, b) to confirm, and links."""
     spark = open_.sparkSession
     placed = open_.join(member, F.col("uid") == F.col("node"), "left").select("key", "uid", "n", F.coalesce("component", "uid").alias("component"))
     placed = staged(spark, placed, "placed")
@@ -294,39 +311,48 @@ def _rest(open_: DataFrame, by_uid: DataFrame, member: DataFrame, s: Settings) -
     pairs = staged(spark, pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "small-pairs")
     # A large component is the reference of all its buckets: their nodes are one group.
     members = marked.where(F.col("size") > s.large).groupBy(F.col("largest").alias("reference"), "uid", "n", "component").agg(F.count(F.lit(1)).alias("times"))
-    return pairs.union(_by_difference(staged(spark, members, "members"), by_uid, s)).distinct()
+    return pairs, _by_difference(staged(spark, members, "members"), by_uid, s)
 
 
-def classes(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(row, n_shingles, component_id, keeper): each row of ``docs`` as a struct, the size of its set, the smallest
-    id of its component, and whether it is the one row that stays."""
-    spark, s = docs.sparkSession, settings
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    signed = rows.withColumn("made", _sign_udf(s)(F.col(f"row.`{text}`")))
-    # The number of a row is fixed by writing it.
-    base = staged(spark, signed.select("row", "made.*", F.monotonically_increasing_id().alias("uid")), "signed", compression="zstd")
-    own_id = F.col(f"row.`{doc_id}`")
-    name = f"near_dup_{uuid.uuid4().hex}"
-    by_uid = _by_uid(base, F.col(f"row.`{text}`"), name)
+def _fates(base: DataFrame, own_id: Column, text: Column, s: Settings) -> DataFrame:
+    """(set, size, keep): for each set of shingles the row that stays; written."""
+    spark, name, place = base.sparkSession, f"near_dup_{uuid.uuid4().hex}", work_dir(base.sparkSession, "by-uid")
     order = F.struct(own_id.isNull().alias("no_id"), own_id.alias("id"), F.col("uid"))
     sets = staged(spark, base.where("n > 0").groupBy("digest", "n").agg(F.min("uid").alias("node"), F.min(order).alias("first")), "sets")
     nodes = base.select("uid", "n", "bands").join(sets.select(F.col("node").alias("uid")), "uid", "left_semi")
     buckets = _open_buckets(staged(spark, nodes.select("uid", "n", F.explode("bands").alias("key")), "band-keys"))
-
-    pairs = staged(spark, _stars(buckets, s), "star-pairs")
-    links = _confirmed(pairs, by_uid, s)
-    member = staged(spark, components(links), "components")
-    more = staged(spark, _rest(buckets, by_uid, member, s).join(pairs, ["a", "b"], "left_anti"), "rest-pairs")
-    if more.limit(1).count():
-        links = links.union(_confirmed(more, by_uid, s))
+    try:
+        by_uid = _by_uid(base, text, name, place)
+        pairs = staged(spark, _stars(buckets, s), "star-pairs")
+        links = _confirmed(pairs, by_uid, s)
         member = staged(spark, components(links), "components")
-    spark.sql(f"DROP TABLE {name}")
-
+        more, found = _rest(buckets, by_uid, member, s)
+        more = staged(spark, more.join(pairs, ["a", "b"], "left_anti"), "rest-pairs")
+        if not more.isEmpty() or not found.isEmpty():
+            links = links.union(found).union(_confirmed(more, by_uid, s))
+            member = staged(spark, components(links), "components")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove(spark, place)
     placed = sets.join(member, "node", "left").select("digest", F.col("n").alias("size"), "first", F.coalesce("component", "node").alias("component"))
     placed = staged(spark, placed, "placed-sets")
     named = staged(spark, placed.groupBy(F.col("component").alias("of")).agg(F.min("first").alias("keep")), "kept-rows")
     # Written, so that the last join meets plain tables and can split the rows of a hot set.
-    fate = staged(spark, placed.join(named, F.col("component") == F.col("of")).select(F.col("digest").alias("set"), "size", "keep"), "fates")
+    fates = placed.join(named, F.col("component") == F.col("of")).select(F.col("digest").alias("set"), "size", "keep")
+    return staged(spark, fates, "fates", lasting=True)
+
+
+def classes(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(row, n_shingles, component_id, keeper): each row of ``docs`` as a struct, the size of its set, the smallest
+    id of its component, and whether it is the one row that stays."""
+    spark, s = docs.sparkSession, settings
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    signed = rows.withColumn("made", _sign_udf(s)(F.col(f"row.`{text}`")))
+    # The number of a row is fixed by writing it.
+    base = staged(spark, signed.select("row", "made.*", F.monotonically_increasing_id().alias("uid")), "signed", compression="zstd")
+    own_id = F.col(f"row.`{doc_id}`")
+    with passing(spark):
+        fate = _fates(base, own_id, F.col(f"row.`{text}`"), s)
     out = base.select("row", "n", "digest", "uid").join(fate, F.expr("digest = set and n = size"), "left")
     return out.select("row", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("keep.id")).otherwise(own_id).alias("component_id"),
                       F.when(F.col("n") > 0, F.col("keep.uid") == F.col("uid")).otherwise(True).alias("keeper"))
