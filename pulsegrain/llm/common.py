@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pulsegrain.session import work_dir
@@ -55,6 +58,19 @@ def staged(spark: SparkSession, df: DataFrame, name: str, lasting: bool = False,
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shared(spark: SparkSession, value: Any) -> Callable[[], Any]:
+    """Broadcast ``value``; the result gives it inside tasks. Classes of this subpackage travel with it, as workers need not
+    have the library."""
+    holder, opened = spark.sparkContext.broadcast(cloudpickle.dumps(value)), []
+
+    def get() -> Any:
+        if not opened:
+            opened.append(pickle.loads(holder.value))
+        return opened[0]
+
+    return get
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have (Spark compares names without case)."""
     taken = {c.lower() for c in df.columns}

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pulsegrain.llm.common import fresh, staged
+from pulsegrain.llm.common import fresh, shared, staged
 
 WIDTH = 10
 BLOCK_BYTES = 16 << 20
@@ -187,7 +187,7 @@ def merge(old: dict | None, new: dict) -> dict:
     return {"n_words": new["n_words"], "n_hit": n_hit, "matches": matches, "items": sorted({m["item"] for m in matches})}
 
 
-def finder(shared):
+def finder(block):
     """The search as a column function over (text, findings of earlier blocks)."""
 
     def search(texts: pa.Array, before: pa.Array) -> pa.Array:
@@ -196,7 +196,7 @@ def finder(shared):
                                                           ("item_word", pa.int64()), ("n_words", pa.int64())])))])
         out = []
         for shard in shards(texts.cast(pa.binary())):
-            out += search_shard(shard, shared.value)
+            out += search_shard(shard, block())
         return pa.array([merge(o, n) for o, n in zip(before.to_pylist(), out)], kind)
 
     return F.arrow_udf(search, FOUND)
@@ -213,9 +213,9 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, found: str = "found", te
     for k in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k)
         rows = [(r.item, r.body) for r in part.toLocalIterator()]  # at most one block
-        shared = spark.sparkContext.broadcast(test_block(rows, width))
+        block = shared(spark, test_block(rows, width))
         before = F.col(f"`{found}`") if k else F.from_json(F.lit(None).cast("string"), FOUND)
-        docs = docs.withColumn(found, finder(shared)(F.col(f"`{text}`"), before))
+        docs = docs.withColumn(found, finder(block)(F.col(f"`{text}`"), before))
         if k < blocks - 1:
             docs = staged(spark, docs, "decontaminate")
     return docs

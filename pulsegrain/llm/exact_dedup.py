@@ -16,16 +16,26 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pulsegrain.llm.common import staged
+from pulsegrain.sources.store import files, pointed, publish
 
 
 class DigestIndex:
     """The index kept under ``path``; opening it again, also in another session, finds what is there.
 
-    ``buckets`` is fixed by the first user of a path: about one for each 128 MB of index.
+    ``buckets``, about one for each 128 MB of index, is for an index that is made here. It is kept beside the index, and an
+    index that exists goes on with its own, whatever is asked for.
     """
 
     def __init__(self, spark: SparkSession, path: str, id_type: str = "bigint", buckets: int = 64):
-        self.spark, self.buckets = spark, buckets
+        self.spark = spark
+        layout = f"{path.rstrip('/')}-layout"
+        known = pointed(spark, layout)
+        if known is None:
+            if files(spark, path):
+                raise ValueError(f"{path} holds data, but {layout}, which tells its buckets, is missing")
+            publish(spark, layout, {"buckets": buckets})
+            known = pointed(spark, layout)
+        self.buckets = buckets = known["buckets"]
         self.name = f"digest_index_{hashlib.sha256(path.encode()).hexdigest()[:16]}"
         spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} (digest BINARY, keep_id {id_type}) USING parquet "
                   f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'")

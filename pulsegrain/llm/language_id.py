@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pulsegrain.llm.common import fresh
+from pulsegrain.llm.common import fresh, shared
 
 SIZE = 2048
 SAMPLE = 6000
@@ -130,10 +130,10 @@ def learn(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
 
 def predict(docs: DataFrame, model: Model | None, predicted: str = "predicted", text: str = "text") -> DataFrame:
     """``docs`` with a struct column (lang, score)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    known = shared(docs.sparkSession, model)
 
     def tell(texts: pa.Array) -> pa.Array:
-        model = shared.value
+        model = known()
         rows = [model.predict(t.as_py()) if model else (UNKNOWN, 0.0) for t in texts]
         return pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64())], names=["lang", "score"])
 

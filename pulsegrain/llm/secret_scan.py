@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from pulsegrain.llm.automaton import Dfa, compile_rules
+from pulsegrain.llm.common import shared
 
 SPANS = "array<struct<kind:string, start:bigint, end:bigint>>"
 LANE = 1024
@@ -63,6 +64,7 @@ class Scanner:
     resets: np.ndarray  # bytes that lead to the start from every state
     rows: list[list[int]]  # of the anchored automaton by state and byte; -1: no match can follow
     bits: list[int]
+    ahead: list[int]  # rules that accept in some state after this one, as bits
 
     @classmethod
     def of(cls, rules: tuple[Rule, ...]) -> Scanner:
@@ -72,7 +74,13 @@ class Scanner:
         resets = (steps == search.start).all(axis=0)[search.class_of]
         wide = anchored.table.reshape(-1, anchored.classes)[:, anchored.class_of]
         dead = [s for s in range(len(wide)) if not anchored.accepts[s] and (wide[s] == s).all()]
-        return cls(rules, search, anchored, resets, np.where(np.isin(wide, dead), -1, wide).tolist(), anchored.accepts.tolist())
+        ahead = np.zeros(len(wide), np.int64)
+        while True:
+            more = np.bitwise_or.reduce(ahead[wide] | anchored.accepts[wide], axis=1)
+            if (more == ahead).all():
+                break
+            ahead = more
+        return cls(rules, search, anchored, resets, np.where(np.isin(wide, dead), -1, wide).tolist(), anchored.accepts.tolist(), ahead.tolist())
 
 
 def lanes_of(data: np.ndarray, resets: np.ndarray) -> np.ndarray:
@@ -103,27 +111,34 @@ def flagged(data: np.ndarray, begins: np.ndarray, dfa: Dfa) -> np.ndarray:
 
 
 def spans_in(text: bytes, scanner: Scanner) -> list[tuple[str, int, int]]:
-    """All matches in a stretch that holds some, as (kind, start, end) in bytes."""
-    out, n, rows, bits, start = [], len(text), scanner.rows, scanner.bits, scanner.anchored.start
+    """All matches in a stretch that holds some, as (kind, start, end) in bytes.
+
+    A walk from a byte goes on only while a rule whose last match has ended there can still accept: inside a match,
+    however long, the bytes are not walked again for its rule.
+    """
+    out, n, rows, bits, ahead, start = [], len(text), scanner.rows, scanner.bits, scanner.ahead, scanner.anchored.start
     free = [0] * len(scanner.rules)
-    begin = 0
-    while begin < n:
+    open_, until = (1 << len(free)) - 1, n  # rules that may match from here, and where others may again
+    for begin in range(n):
+        if begin >= until:
+            open_ = sum(1 << k for k, f in enumerate(free) if f <= begin)
+            until = min((f for f in free if f > begin), default=n)
         state, i, ends = rows[start][text[begin]], begin + 1, {}
         while state >= 0:
-            if bits[state]:
+            if bits[state] & open_:
                 ends[bits[state]] = i
-            if i == n:
+            if i == n or not ahead[state] & open_:
                 break
             state = rows[state][text[i]]
             i += 1
         if ends:
             for k, rule in enumerate(scanner.rules):
-                end = max((e for bit, e in ends.items() if bit >> k & 1), default=0)
-                if end and begin >= free[k]:
+                if open_ >> k & 1 and (end := max((e for bit, e in ends.items() if bit >> k & 1), default=0)):
                     free[k] = end
                     if rule.holds(text[begin:end]):
                         out.append((rule.kind, begin, end))
-        begin += 1
+            open_ = sum(1 << k for k, f in enumerate(free) if f <= begin + 1)
+            until = min((f for f in free if f > begin + 1), default=n)
     return out
 
 
@@ -153,7 +168,7 @@ def scan(texts: list[bytes], scanner: Scanner) -> list[list[dict]]:
 
 def find_secrets(docs: DataFrame, spans: str = "spans", text: str = "text", more: tuple[Rule, ...] = MORE) -> DataFrame:
     """``docs`` with an array ``spans`` of (kind, start, end) by start, then kind: the base kinds, then ``more``."""
-    shared = docs.sparkSession.sparkContext.broadcast(Scanner.of((*BASE, *more)))
+    scanner = shared(docs.sparkSession, Scanner.of((*BASE, *more)))
 
     def find(texts: pa.Array) -> pa.Array:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -162,8 +177,8 @@ def find_secrets(docs: DataFrame, spans: str = "spans", text: str = "text", more
             shard.append(value.as_py() or b"")
             size += len(shard[-1])
             if size >= SHARD_BYTES:
-                out += scan(shard, shared.value)
+                out += scan(shard, scanner())
                 shard, size = [], 0
-        return pa.array(out + (scan(shard, shared.value) if shard else []), kind)
+        return pa.array(out + (scan(shard, scanner()) if shard else []), kind)
 
     return docs.withColumn(spans, F.arrow_udf(find, SPANS)(F.col(f"`{text}`")))
