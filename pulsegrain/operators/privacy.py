@@ -25,15 +25,15 @@ def _ids(ids: DataFrame, name: str) -> DataFrame:
     return one_per_key(ids.select(F.col("id").alias(name)).filter(F.col(name).isNotNull()), name)
 
 
-def anonymize_events(events: DataFrame, ids: DataFrame) -> DataFrame:
-    """Replace the user id of the given users by ``anonymous_`` and its SHA-256.
+def anonymize_events(events: DataFrame, ids: DataFrame, salt: str = "") -> DataFrame:
+    """Replace the user and session ids of the given users by ``anonymous_`` and their SHA-256.
 
-    The hash keeps one user's events together. Row and user counts do not change.
+    The hash keeps one user's, and one session's, events together; counts do not change. A session id may hold the user
+    id (``sessionize`` makes such). Ids that can be guessed need a secret ``salt``, which is put before them.
     """
     marked = events.join(_ids(ids, "user_id").withColumn("_hit", F.lit(True)), "user_id", "left")
-    hidden = F.concat(F.lit("anonymous_"), F.sha2(F.col("user_id"), 256))
-    return (marked.withColumn("user_id", F.when(F.col("_hit"), hidden).otherwise(F.col("user_id")))
-            .select(events.columns))
+    hidden = {c: F.concat(F.lit("anonymous_"), F.sha2(F.concat(F.lit(salt), F.col(c)), 256)) for c in ("user_id", "session_id") if c in events.columns}
+    return marked.withColumns({c: F.when(F.col("_hit"), h).otherwise(F.col(c)) for c, h in hidden.items()}).select(events.columns)
 
 
 def anonymize_users(users: DataFrame, ids: DataFrame) -> DataFrame:
@@ -43,8 +43,8 @@ def anonymize_users(users: DataFrame, ids: DataFrame) -> DataFrame:
     return marked.withColumns(cols).select(users.columns)
 
 
-def anonymize(events: DataFrame, users: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return anonymize_events(events, ids), anonymize_users(users, ids)
+def anonymize(events: DataFrame, users: DataFrame, ids: DataFrame, salt: str = "") -> tuple[DataFrame, DataFrame]:
+    return anonymize_events(events, ids, salt), anonymize_users(users, ids)
 
 
 def export_user(events: DataFrame, users: DataFrame, ids: DataFrame, limit: int | None = None) -> DataFrame:
@@ -119,9 +119,9 @@ def _copy_back(spark: SparkSession, path: str) -> None:
     spark.createDataFrame([], EVENTS).write.mode("overwrite").parquet(copy)
 
 
-def anonymize_stored(spark: SparkSession, path: str, ids: DataFrame) -> list[str]:
+def anonymize_stored(spark: SparkSession, path: str, ids: DataFrame, salt: str = "") -> list[str]:
     """Anonymize the given users in the stored event table."""
-    return rewrite_months(spark, path, ids, lambda events: anonymize_events(events, ids))
+    return rewrite_months(spark, path, ids, lambda events: anonymize_events(events, ids, salt))
 
 
 def erase_stored(spark: SparkSession, path: str, ids: DataFrame) -> list[str]:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pulsegrain.functions import web
 from pulsegrain.functions.periods import time_bucket
 from pulsegrain.functions.props import merge_maps
-from pulsegrain.functions.text import PII_RULES, hold_dates, mask_rule, release_dates, sanitize_text
+from pulsegrain.functions.text import PII_RULES, mask_rule, sanitize_text
 from pulsegrain.operators.dedupe import one_per_key
 
 # Fixed values.
@@ -78,10 +78,9 @@ def mask_pii(df: DataFrame, *cols: str) -> DataFrame:
 
     One projection per rule, so each rule reads the result of the one before it once.
     """
-    df = df.withColumns({c: hold_dates(F.col(c)) for c in cols})
     for needed, pattern, tag in PII_RULES:
         df = df.withColumns({c: mask_rule(F.col(c), needed, pattern, tag) for c in cols})
-    return df.withColumns({c: release_dates(F.col(c)) for c in cols})
+    return df
 
 
 def typed_props(df: DataFrame, spec: Mapping[str, tuple[Sequence[str], str]], props: str = "properties") -> DataFrame:

@@ -90,3 +90,17 @@ def test_limits_above_the_maximum_are_errors(spark):
         recent_events(rows, "p", 500)
     with pytest.raises(ValueError):
         query_history(rows, "u", "p", 101)
+
+
+def test_masking_beside_dates_leaves_no_part_and_nothing_foreign(spark):
+    texts = ["bob-2024-01-30@x.com", "call +1 2024-01-30 5551234", "555 1234567 2024-01-30", "2024-01-30 555-123-4567", "1.2.3.4 a@b.co 2024-13-30 12", "x" * 9]
+    out = [r.text for r in mask_pii(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string"), "text").orderBy("i").collect()]
+    assert out == ["[email]", texts[1], "[phone] 2024-01-30", "2024-01-30 [phone]", "[ip] [email] [phone]", texts[5]]
+
+
+def test_anonymized_sessions_do_not_tell_the_user(spark):
+    from pulsegrain.operators.privacy import anonymize_events
+    rows = spark.createDataFrame([("u1", "u1-1"), ("u1", "u1-2"), ("u2", "u2-1"), ("u1", None)], "user_id string, session_id string")
+    out = anonymize_events(rows, spark.createDataFrame([("u1",)], "id string"), "secret").collect()
+    assert not any("u1" in (r.user_id + (r.session_id or "")) for r in out if r.user_id != "u2")
+    assert len({r.session_id for r in out}) == 4 and len({r.user_id for r in out}) == 2
