@@ -25,9 +25,14 @@ def as_of_column(events: DataFrame, as_of: AsOf, back: dt.timedelta = dt.timedel
 
     ``as_of`` is a given instant, a given column, or None for the newest timestamp. The latter is
     a scalar subquery: lazy, evaluated before the main scan without a driver round trip. The
-    subtraction happens inside it, so a filter compares a plain column with a plain value.
+    subtraction happens inside it, so a filter compares a plain column with a plain value. On the stored table
+    the newest month is found first, from footers alone, and only its times are read (``events.newest_instant`` opens
+    no other month's files at all).
     """
     if as_of is None:
+        if ts == "timestamp" and "event_month" in events.columns:
+            month = events.select(F.max("event_month").alias("month")).scalar()
+            events = events.filter(F.col("event_month") == month)
         return events.select((F.max(ts) - F.lit(back)).alias("as_of")).scalar()
     if isinstance(as_of, Column):
         return as_of - F.lit(back)

@@ -84,10 +84,20 @@ def forecast(daily: DataFrame, metric: str, horizon: int = 7) -> DataFrame:
 
 
 def period_report(events: DataFrame, period: str = "weekly") -> DataFrame:
-    """Per project and period: events, users, sessions, each with its change, and the top event."""
-    rows = events.withColumn("period_start", period_start("timestamp", period))
+    """Per project and period: events, users, sessions, each with its change, and the top event.
+
+    Events are read once: tasks reduce them to one row per name, one per user and one per session of a period.
+    """
     keys = ["project_id", "period_start"]
-    base = vs_previous(counts_users_sessions(rows, keys), ["events", "users", "sessions"], "period_start", period=period)
-    names = rows.groupBy(*keys, "event_name").agg(F.count("*").alias("_n"))
-    top = names.groupBy(*keys).agg(F.min_by("event_name", F.struct(-F.col("_n"), "event_name")).alias("top_event"))
-    return base.join(top, keys)
+    kinds = ["event_name", "user_id", "session_id"]
+    rows = events.select("project_id", period_start("timestamp", period).alias("period_start"), *kinds)
+    reduced = rows.groupingSets([[*keys, kind] for kind in kinds], *keys, *kinds).agg(
+        F.count("*").alias("_n"), *(F.grouping(kind).alias(f"_no_{kind}") for kind in kinds))
+    of = lambda kind: F.col(f"_no_{kind}") == 0
+    counts = reduced.groupBy(*keys).agg(
+        F.sum(F.when(of("event_name"), F.col("_n"))).alias("events"),
+        F.count(F.when(of("user_id"), F.col("user_id"))).alias("users"),
+        F.count(F.when(of("session_id"), F.col("session_id"))).alias("sessions"),
+        F.min_by("event_name", F.when(of("event_name"), F.struct(-F.col("_n"), "event_name"))).alias("top_event"))
+    out = vs_previous(counts, ["events", "users", "sessions"], "period_start", period=period)
+    return out.select(*(c for c in out.columns if c != "top_event"), "top_event")

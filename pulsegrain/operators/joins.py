@@ -19,14 +19,18 @@ def resolve_project(events: DataFrame, api_keys: DataFrame, projects: DataFrame,
                     as_of: dt.datetime | Column, key: str = "api_key") -> DataFrame:
     """Give each event the project of its API key; events with no active, unexpired key drop out.
 
-    Keys are stored as SHA-256; the key an event carries is hashed before the lookup.
+    Keys are stored as SHA-256; the key an event carries is hashed before the lookup. What the key permits comes
+    along as ``permissions``, where keys have it.
     """
-    keys = (active_rows(api_keys, as_of).select("key_hash", "project_id")
+    own = [c for c in ("permissions",) if c in api_keys.columns]
+    keys = (active_rows(api_keys, as_of).select("key_hash", "project_id", *own)
             .join(projects.select(F.col("id").alias("project_id"), F.col("name").alias("project_name")), "project_id"))
     # Key hashes are not unique: the smallest project decides, and an event stays one row.
-    first = F.min(F.struct("project_id", "project_name")).alias("_project")
+    # (Maps have no order, their sorted entries do.)
+    order = F.struct("project_id", "project_name", *(F.array_sort(F.map_entries(c)) for c in own))
+    first = F.min_by(F.struct("project_id", "project_name", *own), order).alias("_project")
     keys = one_per_key(keys, "key_hash", first).select("key_hash", "_project.*")
-    hashed = events.drop("project_id").withColumn("key_hash", F.sha2(F.col(key), 256))
+    hashed = events.drop("project_id", *own).withColumn("key_hash", F.sha2(F.col(key), 256))
     return hashed.join(keys, "key_hash").drop("key_hash")
 
 

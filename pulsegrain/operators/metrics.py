@@ -195,7 +195,10 @@ def breakdown(events: DataFrame, dims: Sequence[str], totals: bool = False) -> D
 
 
 def breakdown_of(metric: Callable[[DataFrame], DataFrame], events: DataFrame, dim: str, values: Sequence[str]) -> DataFrame:
-    """Any metric, once per listed value of a dimension, stacked; definition ours."""
+    """Any metric, once per listed value of a dimension, stacked; definition ours.
+
+    One scan per value: ``breakdown_by`` takes one for all, where the metric is made per project.
+    """
     parts = [metric(events.filter(F.col(dim) == v)).withColumn(dim, F.lit(v)) for v in values]
     out = parts[0]
     for part in parts[1:]:
@@ -203,6 +206,15 @@ def breakdown_of(metric: Callable[[DataFrame], DataFrame], events: DataFrame, di
     return out
 
 
+def breakdown_by(metric: Callable[[DataFrame], DataFrame], events: DataFrame, dim: str) -> DataFrame:
+    """Any metric that is made per project, for every value of a dimension; definition ours.
+
+    The metric runs once, and sees project and value together as the project.
+    """
+    out = metric(events.withColumn("project_id", F.struct("project_id", F.col(dim).alias("value"))))
+    return out.select("project_id.project_id", F.col("project_id.value").alias(dim), *(c for c in out.columns if c not in ("project_id", dim)))
+
+
 def experiment_readout(events: DataFrame, goal: str, control: str, key: str = "experiment") -> DataFrame:
     """Conversion by variant, difference to the control, and the two-proportion z; definition ours.
 

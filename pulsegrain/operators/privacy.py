@@ -1,23 +1,23 @@
-"""Privacy jobs over a frame of user ids: anonymize, export, erase, and rewriting stored months.
+"""Privacy jobs over a frame of user ids: anonymize, export, erase, and rewriting stored files.
 
 All ids are handled in one pass. The id frame has a column ``id``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pulsegrain.operators.dedupe import one_per_key
 from pulsegrain.operators.paging import first_n_per_group
 from pulsegrain.operators.shaping import mask_pii  # noqa: F401  (the fourth privacy job)
-from pulsegrain.schemas import EVENTS
-from pulsegrain.sources.events import read_events, write_events
+from pulsegrain.sources.events import read_events, read_files, write_events
+from pulsegrain.sources.store import files, folders, move, pointed, publish, remove
 
 # Fixed values.
 ANONYMOUS = {"email": "anonymized@example.com", "first_name": "Anonymous", "last_name": "User"}
+PUSHED_IDS = 200
 USER_COLUMN = {"events": "user_id", "users": "id", "sessions": "user_id", "ai_queries": "user_id"}
 
 
@@ -68,62 +68,77 @@ def erase(tables: Mapping[str, DataFrame], ids: DataFrame) -> dict[str, DataFram
             for name, df in tables.items()}
 
 
-def rewrite_months(spark: SparkSession, path: str, ids: DataFrame,
-                   change: Callable[[DataFrame], DataFrame]) -> list[str | None]:
-    """Apply ``change`` to the stored months that hold events of the given users.
+def files_with(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
+    """Files of the stored table that hold events of the given users: ``file`` (name below the table), ``event_month``.
 
-    Months without such events are neither read again nor written; events without a time are a month of their own
-    (None). The changed months are first written beside the table, as Spark cannot overwrite what it reads, with a list of
-    them when they are whole. A run that is interrupted while it copies back is finished by the next one, from that
-    list. Afterwards the copy is emptied. A month left without events is emptied too. No other job may write
-    the table until this one has finished.
+    Up to ``PUSHED_IDS`` users become a filter that reaches the scan, where Bloom filters and dictionaries skip the row
+    groups without them; more are joined, and then every user column is read.
     """
-    copy, whole = _beside(path)
-    _copy_back(spark, path)
-    stored = read_events(spark, path)
-    hits = stored.join(_ids(ids, "user_id"), "user_id", "left_semi")
-    found = {r["event_month"] for r in hits.select("event_month").distinct().collect()}
+    wanted = _ids(ids, "user_id")
+    few = sorted(r["user_id"] for r in wanted.limit(PUSHED_IDS + 1).collect())
+    below = F.concat_ws("/", F.slice(F.split("_metadata.file_path", "/"), -2, 2))
+    stored = read_events(spark, path).select("user_id", "event_month", below.alias("file"))
+    if len(few) > PUSHED_IDS:
+        hits = stored.join(wanted, "user_id", "left_semi")
+    else:
+        hits = stored.filter(_one_of(few))
+    return hits.select("file", "event_month").distinct()
+
+
+def _one_of(names: Sequence[str]) -> Column:
+    """A flat tree of equalities: a list of values beyond a few would reach the scan as its smallest and largest only."""
+    if len(names) > 1:
+        return _one_of(names[:len(names) // 2]) | _one_of(names[len(names) // 2:])
+    return F.col("user_id") == names[0] if names else F.lit(False)
+
+
+def rewrite_files(spark: SparkSession, path: str, ids: DataFrame,
+                  change: Callable[[DataFrame], DataFrame]) -> list[str | None]:
+    """Apply ``change`` to the stored files that hold events of the given users; returns their months.
+
+    All other files stay as they are, under their names; events without a time are a month of their own (None). The
+    changed events are first written beside the table, then a list of the files they replace is published; they are moved
+    in, and the replaced files are removed. A run that is interrupted after the list is finished by the next one. Afterwards
+    the copy is gone, and so is a month left without events. While files are moved a reader may see
+    events twice. No other job may write the table until this one has finished.
+    """
+    copy, replaced = _beside(path)
+    _move_in(spark, path)
+    found = files_with(spark, path, ids).collect()
     if not found:
         return []
-    months = sorted(found - {None}) + [None] * (None in found)
-    write_events(change(read_events(spark, path, months)), copy, "overwrite")
-    spark.createDataFrame([(m,) for m in months], "month string").write.mode("overwrite").parquet(whole)
-    _copy_back(spark, path)
-    return months
+    names, months = sorted({r["file"] for r in found}), {r["event_month"] for r in found}
+    write_events(change(read_files(spark, path, names)), copy, "overwrite")
+    publish(spark, replaced, {"files": names})
+    _move_in(spark, path)
+    return sorted(months - {None}) + [None] * (None in months)
 
 
 def _beside(path: str) -> tuple[str, str]:
-    """Folders beside the table: the changed months, and the list of them that says they are whole."""
+    """Beside the table: the changed events, and the list of the files that they replace, there when they are whole."""
     root = path.rstrip("/")
-    return f"{root}-rewrite", f"{root}-rewrite-months"
-
-
-def _copy_back(spark: SparkSession, path: str) -> None:
-    """Replace the listed months by their changed copy, if there is one, and empty the copy."""
-    copy, whole = _beside(path)
-    try:
-        months = {r["month"] for r in spark.read.schema("month string").parquet(whole).collect()}
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return
-    if months:
-        result = read_events(spark, copy)
-        kept = {r["event_month"] for r in result.select("event_month").distinct().collect()}
-        if kept:
-            write_events(result, path, dynamic=True)
-        for month in months - kept:
-            empty = spark.createDataFrame([], EVENTS)
-            empty.write.mode("overwrite").parquet(f"{path}/event_month={'__HIVE_DEFAULT_PARTITION__' if month is None else month}")
-        spark.createDataFrame([], "month string").write.mode("overwrite").parquet(whole)
-    spark.createDataFrame([], EVENTS).write.mode("overwrite").parquet(copy)
+    return f"{root}-rewrite", f"{root}-rewrite-files"
+
+
+def _move_in(spark: SparkSession, path: str) -> None:
+    """Replace the listed files by the changed ones, if there is a list; then drop the list and what is left beside."""
+    copy, replaced = _beside(path)
+    root, old = path.rstrip("/"), (pointed(spark, replaced) or {"files": []})["files"]
+    if old:
+        for month in folders(spark, copy, ""):
+            for name in files(spark, f"{copy}/{month}"):
+                move(spark, f"{copy}/{month}/{name}", f"{root}/{month}/{name}")
+        for name in old:
+            remove(spark, f"{root}/{name}")
+        publish(spark, replaced, {"files": []})
+    remove(spark, copy)
 
 
 def anonymize_stored(spark: SparkSession, path: str, ids: DataFrame, salt: str = "") -> list[str]:
     """Anonymize the given users in the stored event table."""
-    return rewrite_months(spark, path, ids, lambda events: anonymize_events(events, ids, salt))
+    return rewrite_files(spark, path, ids, lambda events: anonymize_events(events, ids, salt))
 
 
 def erase_stored(spark: SparkSession, path: str, ids: DataFrame) -> list[str]:
     """Erase the given users from the stored event table."""
-    return rewrite_months(spark, path, ids, lambda events: erase({"events": events}, ids)["events"])
+    return rewrite_files(spark, path, ids, lambda events: erase({"events": events}, ids)["events"])

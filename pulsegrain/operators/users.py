@@ -34,6 +34,13 @@ def key_last_used(events: DataFrame, key: str = "api_key") -> DataFrame:
             .select(F.sha2(F.col(key), 256).alias("key_hash"), "last_used_at", "uses"))
 
 
+def touch_keys(api_keys: DataFrame, uses: DataFrame) -> DataFrame:
+    """Keys with their last use moved on by ``uses`` (``key_last_used`` of new events); keys with one hash move together."""
+    seen = uses.groupBy("key_hash").agg(F.max("last_used_at").alias("_last"))
+    return (api_keys.join(seen, "key_hash", "left").withColumn("last_used_at", F.greatest("last_used_at", "_last"))
+            .select(api_keys.columns))
+
+
 def events_tracked(events: DataFrame) -> DataFrame:
     """Events accepted per project and name."""
     return events.groupBy("project_id", "event_name").agg(F.count("*").alias("events_tracked_total"))

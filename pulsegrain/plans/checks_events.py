@@ -70,10 +70,11 @@ def _(spark, sf):
 
 
 @check("json_rows", "S-5", """
-SELECT json_object('event_id', event_id, 'user_id', user_id, 'event_type', event_type, 'props', props)::varchar AS value
+SELECT json_object('event_id', event_id, 'ts', strftime(date_trunc('millisecond', ts), '%Y-%m-%dT%H:%M:%S.%gZ'), 'user_id', user_id,
+  'event_type', event_type, 'value', value, 'props', props)::varchar AS value
 FROM events""")
 def _(spark, sf):
-    return event_table.to_json_rows(testbed.table(spark, sf, "events").select("event_id", "user_id", "event_type", "props"))
+    return event_table.to_json_rows(testbed.table(spark, sf, "events"))
 
 
 @check("dimension_scan", "S-6", with_views(USERS) + """
@@ -289,6 +290,17 @@ def _(spark, sf):
     return filters.in_range(testbed.base_events(spark, sf), "7d").select("id", "timestamp")
 
 
+@check("date_range_stored", "F-2 F-7 S-4", with_views(BASE) + f"""
+SELECT id, {T} AS "timestamp" FROM base
+WHERE "timestamp" BETWEEN (SELECT max("timestamp") FROM base) - INTERVAL 7 DAY AND (SELECT max("timestamp") FROM base)""")
+def _(spark, sf):
+    """On the stored table, where the newest instant comes from the newest month alone."""
+    path = work_dir(spark, "events")
+    event_table.write_events(testbed.base_events(spark, sf), path)
+    stored = event_table.read_events(spark, path)
+    return filters.in_range(stored, "7d", event_table.newest_instant(spark, path)).select("id", "timestamp")
+
+
 @check("named_events", "F-3", with_views(BASE) + "SELECT id FROM base WHERE event_name IN ('click', 'signup')")
 def _(spark, sf):
     return filters.named(testbed.base_events(spark, sf), "click", "signup").select("id")
@@ -322,12 +334,13 @@ def _(spark, sf):
 # --- joins -------------------------------------------------------------------------------------
 
 @check("key_to_project", "J-1 X-17", with_views(BASE, API_KEYS, PROJECTS) + """
-SELECT base.id, keys.project_id, projects.name AS project_name FROM base
+SELECT base.id, keys.project_id, projects.name AS project_name, may_write FROM base
 JOIN keys ON sha256(api_key) = key_hash AND is_active AND expires_at > TIMESTAMP '2024-01-20'
 JOIN projects ON projects.id = keys.project_id""")
 def _(spark, sf):
     return joins.resolve_project(testbed.base_events(spark, sf), testbed.api_keys(spark, sf),
-                                 testbed.projects(spark, sf), testbed.KEY_AS_OF).select("id", "project_id", "project_name")
+                                 testbed.projects(spark, sf), testbed.KEY_AS_OF).select(
+        "id", "project_id", "project_name", F.col("permissions")["write"].alias("may_write"))
 
 
 @check("events_with_user", "J-3", with_views(BASE, USERS) + """
@@ -383,9 +396,22 @@ def _(spark, sf):
     return top_pages(testbed.events(spark, sf), "p0", "30d", testbed.as_of(spark, sf), page=2)
 
 
-@check("capped_rows", "L-4", with_views(BASE) + "SELECT count(*) AS rows FROM (SELECT id FROM base LIMIT 500)")
+@check("page_after_cursor", "L-3", with_views(BASE) + f"""
+SELECT id, user_id, {T} AS "timestamp", count(*) OVER () > 90 AS has_more FROM base ORDER BY base."timestamp" DESC, id LIMIT 30 OFFSET 60""")
+def _(spark, sf):
+    """The third page of the stored table: each cursor is read off the last row of the page before."""
+    path, order, cursor = work_dir(spark, "events"), ["-timestamp", "id"], None
+    event_table.write_events(testbed.base_events(spark, sf), path)
+    stored = event_table.read_events(spark, path)
+    for _page in range(2):
+        page = paging.page_after(stored.select("timestamp", "id", "event_month"), order, cursor, 30)
+        cursor = page.orderBy("timestamp", F.col("id").desc()).select("cursor").first()[0]
+    return paging.page_after(stored, order, cursor, 30).select("id", "user_id", "timestamp", "has_more")
+
+
+@check("capped_rows", "L-4", with_views(BASE) + "SELECT id, user_id FROM base ORDER BY e LIMIT 500")
 def _(spark, sf):
-    return paging.cap(testbed.base_events(spark, sf).select("id"), 500).agg(F.count("*").alias("rows"))
+    return paging.cap(testbed.base_events(spark, sf), 500, [F.col("id").cast("bigint")]).select("id", "user_id")
 
 
 @check("recent_per_project", "W-1", with_views(BASE) + f"""

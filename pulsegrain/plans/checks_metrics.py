@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pulsegrain.functions.props import prop
 from pulsegrain.operators import funnel, metrics, retention, rollups, sessions, users
 from pulsegrain.plans.catalog import check
-from pulsegrain.plans.views import BASE, COMMERCE, SESSIONS, USERS, with_views
+from pulsegrain.plans.views import API_KEYS, BASE, COMMERCE, SESSIONS, USERS, with_views
 from pulsegrain.sources import testbed
 
 TS = "strftime({}, '%Y-%m-%d %H:%M:%S.%f')"
@@ -332,6 +332,24 @@ def _(spark, sf):
     return users.key_last_used(testbed.base_events(spark, sf))
 
 
+@check("touched_users", "A-24", with_views(BASE, USERS, """seen AS (
+  SELECT user_id, min("timestamp") AS a, max("timestamp") AS b FROM base GROUP BY 1)""") + f"""
+SELECT id, {TS.format("CASE WHEN a < TIMESTAMP '2024-01-10' THEN a ELSE TIMESTAMP '2024-01-10' END")} AS first_seen,
+  {TS.format('b')} AS last_seen FROM users LEFT JOIN seen ON user_id = id""")
+def _(spark, sf):
+    # All users were first seen on one day, and not again.
+    known = testbed.users(spark, sf).select("id", F.lit(dt.datetime(2024, 1, 10)).alias("first_seen"), F.lit(None).cast("timestamp").alias("last_seen"))
+    return users.touch_users(known, users.user_profile(testbed.base_events(spark, sf)))
+
+
+@check("touched_keys", "A-25", with_views(BASE, API_KEYS, """used AS (SELECT sha256(api_key) AS h, max("timestamp") AS t FROM base GROUP BY 1)""") + f"""
+SELECT id, {TS.format("greatest(t, TIMESTAMP '2024-01-15')")} AS last_used_at, may_write FROM keys LEFT JOIN used ON h = key_hash""")
+def _(spark, sf):
+    known = testbed.api_keys(spark, sf).withColumn("last_used_at", F.lit(dt.datetime(2024, 1, 15)))
+    return users.touch_keys(known, users.key_last_used(testbed.base_events(spark, sf))).select(
+        "id", "last_used_at", F.col("permissions")["write"].alias("may_write"))
+
+
 @check("events_tracked", "A-26", with_views(BASE) + """
 SELECT project_id, event_name, count(*) AS events_tracked_total FROM base GROUP BY ALL""")
 def _(spark, sf):
@@ -395,6 +413,14 @@ def _(spark, sf):
     return metrics.breakdown(testbed.events(spark, sf), ["platform", "event_name"], totals=True)
 
 
+@check("breakdown_of_series", "A-34", EV + """
+SELECT project_id, platform, cast(cast("timestamp" AS date) AS varchar) AS date, count(*) AS events, count(DISTINCT user_id) AS users,
+  count(DISTINCT session_id) AS sessions FROM ev GROUP BY ALL""")
+def _(spark, sf):
+    from pulsegrain.operators.insights import daily_series
+    return metrics.breakdown_by(daily_series, testbed.events(spark, sf), "platform")
+
+
 @check("breakdown_by_segment", "A-34 J-3", with_views(BASE, SESSIONS, USERS) + """
 SELECT segment AS user_segment, region AS user_region, count(*) AS events, count(DISTINCT user_id) AS users,
   count(DISTINCT session_id) AS sessions FROM ev LEFT JOIN users ON users.id = user_id GROUP BY ALL""")

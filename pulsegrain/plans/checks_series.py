@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pulsegrain.operators import insights, users
+import uuid
+
+from pulsegrain.operators import insights, sessions, users
 from pulsegrain.plans.catalog import check
 from pulsegrain.plans.views import BASE, COMMERCE, SESSIONS, with_views
+from pulsegrain.session import work_dir
 from pulsegrain.sources import testbed
+from pulsegrain.sources.events import write_by_user
 
 EV = with_views(BASE, SESSIONS)
 DAILY = """daily AS (SELECT project_id, cast("timestamp" AS date) AS d, count(*) AS events,
@@ -33,6 +37,13 @@ def _(spark, sf):
     return testbed.events(spark, sf).select("id", "user_id", "session_id")
 
 
+@check("sessions_on_user_copy", "W-3 S-4", EV + "SELECT id, user_id, session_id FROM ev")
+def _(spark, sf):
+    """On the copy by user, where sessions need no shuffle of events."""
+    copy = write_by_user(testbed.base_events(spark, sf), f"by_user_{uuid.uuid4().hex}", work_dir(spark, "by-user"), 8)
+    return sessions.sessionize(copy, testbed.SESSION_GAP).select("id", "user_id", "session_id")
+
+
 @check("trend", "W-4", BYDAY.rstrip() + """, m AS (
   SELECT x.project_id, x.d, avg(y.events) FILTER (y.d > x.d - 7) AS a, avg(y.events) FILTER (y.d <= x.d - 7) AS b, count(*) AS n
   FROM daily x JOIN daily y ON x.project_id = y.project_id AND y.d BETWEEN x.d - 13 AND x.d GROUP BY ALL)
@@ -76,16 +87,26 @@ def _(spark, sf):
     return users.churn_risk(testbed.commerce_events(spark, sf), factor=2.0)
 
 
-@check("period_report", "W-8", EV.rstrip() + """, m AS (
-  SELECT project_id, cast(date_trunc('week', "timestamp") AS date) AS p, count(*) AS events,
+def _report(period: str) -> str:
+    """Every period has the one before it in the given tables."""
+    return EV.rstrip() + f""", m AS (
+  SELECT project_id, cast(date_trunc('{period}', "timestamp") AS date) AS p, count(*) AS events,
     count(DISTINCT user_id) AS users, count(DISTINCT session_id) AS sessions FROM ev GROUP BY 1, 2),
-names AS (SELECT project_id, cast(date_trunc('week', "timestamp") AS date) AS p, event_name FROM ev GROUP BY 1, 2, 3
+names AS (SELECT project_id, cast(date_trunc('{period}', "timestamp") AS date) AS p, event_name FROM ev GROUP BY 1, 2, 3
   QUALIFY row_number() OVER (PARTITION BY 1, project_id, p ORDER BY count(*) DESC, event_name) = 1)
 SELECT project_id, cast(p AS varchar) AS period_start, events, users, sessions, event_name AS top_event,
   lag(events) OVER w AS previous_events, lag(users) OVER w AS previous_users, lag(sessions) OVER w AS previous_sessions,
   round((events - lag(events) OVER w) / lag(events) OVER w * 100, 2) AS events_change,
   round((users - lag(users) OVER w) / lag(users) OVER w * 100, 2) AS users_change,
   round((sessions - lag(sessions) OVER w) / lag(sessions) OVER w * 100, 2) AS sessions_change
-FROM m JOIN names USING (project_id, p) WINDOW w AS (PARTITION BY project_id ORDER BY p)""")
+FROM m JOIN names USING (project_id, p) WINDOW w AS (PARTITION BY project_id ORDER BY p)"""
+
+
+@check("period_report", "W-8", _report("week"))
 def _(spark, sf):
     return insights.period_report(testbed.events(spark, sf), "weekly")
+
+
+@check("period_report_monthly", "W-8", _report("month"))
+def _(spark, sf):
+    return insights.period_report(testbed.events(spark, sf), "monthly")

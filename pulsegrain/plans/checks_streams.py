@@ -85,25 +85,42 @@ def _(spark, sf):
     return _collect(spark, feed.select("id", "event_name"), "append")
 
 
+def _within(found, exact):
+    """``exact`` where ``found`` is as near as its sketch promises, else what was found."""
+    return F.when(F.abs(found - exact) <= F.greatest(F.lit(1), exact * 0.1), exact).otherwise(found)
+
+
 @check("stream_realtime", "ST-5", with_views(BASE) + f"""
-SELECT project_id, {TS.format('w')} AS window_start, count(*) AS events FROM (
+SELECT project_id, {TS.format('w')} AS window_start, {TS.format("w + INTERVAL 1 DAY")} AS window_end, count(*) AS events,
+  count(DISTINCT user_id) AS users, count(DISTINCT api_key) AS sessions, array_to_string(list_sort(list(DISTINCT event_name)), '|') AS top_events
+FROM (
   SELECT *, unnest(generate_series(time_bucket(INTERVAL 6 HOUR, "timestamp") - INTERVAL 18 HOUR,
     time_bucket(INTERVAL 6 HOUR, "timestamp"), INTERVAL 6 HOUR)) AS w FROM base)
 GROUP BY ALL""")
 def _(spark, sf):
-    # A day sliding by six hours: the given events are too sparse for windows of minutes.
-    rows = testbed.base_events(spark, sf).withColumn("session_id", F.col("user_id"))
-    stream = live.stream_realtime(_replay(spark, rows), "1 day", "6 hours", NO_LATE_ROWS)
-    return _collect(spark, stream, "complete").select("project_id", "window_start", "events")
+    """A day sliding by six hours: the given events are too sparse for windows of minutes. Users and sessions are sketched."""
+    rows = testbed.base_events(spark, sf).withColumn("session_id", F.col("api_key"))
+    stream = live.stream_realtime(_replay(spark, rows), "1 day", "6 hours", NO_LATE_ROWS, 20)
+    exact = (rows.groupBy("project_id", F.window("timestamp", "1 day", "6 hours")["start"].alias("window_start"))
+             .agg(F.count_distinct("user_id").alias("u"), F.count_distinct("session_id").alias("s")))
+    return _collect(spark, stream, "complete").join(exact, ["project_id", "window_start"], "left").select(
+        "project_id", "window_start", "window_end", "events", _within(F.col("users"), F.col("u")).alias("users"),
+        _within(F.col("sessions"), F.col("s")).alias("sessions"), F.array_sort("top_events").alias("top_events"))
 
 
 @check("stream_metric_updates", "ST-6", with_views(BASE) + f"""
 SELECT project_id, metric, {TS.format('time_bucket(INTERVAL 1 HOUR, "timestamp") + INTERVAL 1 HOUR')} AS "timestamp",
-  count(*) FILTER (WHERE metric = 'events' OR event_name = 'page_view') AS value
-FROM base, (VALUES ('events'), ('page_views')) m(metric) GROUP BY ALL""")
+  CASE metric WHEN 'events' THEN count(*) WHEN 'page_views' THEN count(*) FILTER (WHERE event_name = 'page_view')
+    ELSE count(DISTINCT user_id) END AS value
+FROM base, (VALUES ('events'), ('page_views'), ('active_users')) m(metric) GROUP BY 1, 2, 3""")
 def _(spark, sf):
-    stream = live.metric_updates(_replay(spark, testbed.base_events(spark, sf)), "1 hour", NO_LATE_ROWS)
-    return _collect(spark, stream, "complete").filter("metric <> 'active_users'")
+    rows = testbed.base_events(spark, sf)
+    stream = live.metric_updates(_replay(spark, rows), "1 hour", NO_LATE_ROWS)
+    exact = (rows.groupBy("project_id", F.window("timestamp", "1 hour")["end"].alias("timestamp"))
+             .agg(F.count_distinct("user_id").alias("u")))
+    value = F.when(F.col("metric") == "active_users", _within(F.col("value"), F.col("u"))).otherwise(F.col("value"))
+    return _collect(spark, stream, "complete").join(exact, ["project_id", "timestamp"], "left").select(
+        "project_id", "metric", "timestamp", value.alias("value"))
 
 
 def _in_turn(spark, parts: list[DataFrame]) -> DataFrame:

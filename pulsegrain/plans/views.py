@@ -67,7 +67,7 @@ API_KEYS = """keys AS (
   SELECT cast(c_custkey AS varchar) AS id, 'p' || cast(c_custkey % 3 AS varchar) AS project_id,
     sha256('key_' || cast(c_custkey AS varchar)) AS key_hash,
     CASE WHEN c_custkey % 11 <> 0 THEN TIMESTAMP '2024-01-10' + to_days(cast(c_custkey % 40 AS int)) END AS expires_at,
-    c_acctbal > 0 AS is_active FROM customer)"""
+    c_acctbal > 0 AS is_active, cast(c_custkey % 2 = 0 AS varchar) AS may_write FROM customer)"""
 
 PROJECTS = """projects AS (
   SELECT DISTINCT 'p' || cast(c_custkey % 3 AS varchar) AS id, 'Project p' || cast(c_custkey % 3 AS varchar) AS name

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pulsegrain.functions.periods import month_key
 from pulsegrain.schemas import EVENTS, EVENTS_PARTITIONED
+from pulsegrain.sources.store import folders
+
+# Row groups carry a Bloom filter of their users, as large as these need, so that a look for few users skips the others.
+BLOOM = {"parquet.bloom.filter.enabled#user_id": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
 
 
 def read_events(spark: SparkSession, path: str, months: Iterable[str | None] | None = None) -> DataFrame:
@@ -20,6 +25,37 @@ def read_events(spark: SparkSession, path: str, months: Iterable[str | None] | N
     return events.filter(known | F.col("event_month").isNull() if None in wanted else known)
 
 
+def read_files(spark: SparkSession, path: str, names: Iterable[str]) -> DataFrame:
+    """Some files of the event table, by their names below it."""
+    root = path.rstrip("/")
+    return spark.read.schema(EVENTS_PARTITIONED).option("basePath", root).parquet(*(f"{root}/{n}" for n in names))
+
+
+def newest_instant(spark: SparkSession, path: str) -> dt.datetime | None:
+    """The newest event time of the stored table, as an ``as_of`` for many queries; None if no event has a time.
+
+    Month folders are listed, and read from the newest one back until one holds an event.
+    """
+    for month in sorted(folders(spark, path, "event_month"), reverse=True):
+        newest = read_events(spark, path, [month]).agg(F.max("timestamp")).first()[0] if month.isdigit() else None
+        if newest is not None:
+            return newest
+    return None
+
+
+def write_by_user(df: DataFrame, table: str, path: str, buckets: int = 200) -> DataFrame:
+    """Write a second copy of the events as a table bucketed and sorted by user, and return it.
+
+    What groups by user (sessions, ordered funnels, retention, profiles) needs no shuffle of events there. All events of
+    a user lie in one bucket: where one user may hold a large part of all events, use the table by month,
+    whose partitions are split.
+    """
+    rows = conform(df).withColumn("event_month", month_key("timestamp"))
+    (rows.repartition(buckets, "user_id").write.mode("overwrite").option("path", path)
+     .bucketBy(buckets, "user_id").sortBy("user_id", "timestamp").saveAsTable(table))
+    return df.sparkSession.table(table)
+
+
 def conform(df: DataFrame) -> DataFrame:
     """Select the event columns in table order; absent ones become NULL."""
     return df.select(*[
@@ -37,7 +73,7 @@ def write_events(df: DataFrame, path: str, mode: str = "append", dynamic: bool =
     rows = conform(df).withColumn("event_month", month_key("timestamp"))
     writer = (rows.repartitionByRange("event_month", "timestamp", "user_id")
               .sortWithinPartitions("event_month", "timestamp", "user_id", "event_name")
-              .write.mode("overwrite" if dynamic else mode).partitionBy("event_month"))
+              .write.mode("overwrite" if dynamic else mode).options(**BLOOM).partitionBy("event_month"))
     if dynamic:
         writer = writer.option("partitionOverwriteMode", "dynamic")
     writer.parquet(path)

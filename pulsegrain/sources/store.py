@@ -68,6 +68,14 @@ def files(spark: SparkSession, path: str) -> list[str]:
     return _names(spark, path, False)
 
 
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a file; the target's folder is made if it is missing."""
+    system = _system(spark, source)
+    system.mkdirs(_path(spark, target).getParent())
+    if not system.rename(_path(spark, source), _path(spark, target)):
+        raise OSError(f"cannot move {source} to {target}")
+
+
 def remove(spark: SparkSession, path: str) -> None:
-    """Remove a folder that a job made for itself; a missing one is no error."""
+    """Remove a folder or file that a job made or replaced; a missing one is no error."""
     _system(spark, path).delete(_path(spark, path), True)

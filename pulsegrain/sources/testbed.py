@@ -169,7 +169,8 @@ def api_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
         _text(key).alias("id"), F.concat(F.lit("p"), _text(key % 3)).alias("project_id"),
         F.sha2(F.concat(F.lit("key_"), _text(key)), 256).alias("key_hash"),
         F.when(key % 11 != 0, F.lit(dt.datetime(2024, 1, 10)) + F.make_dt_interval((key % 40).cast("int"))).alias("expires_at"),
-        (F.col("c_acctbal") > 0).alias("is_active"))
+        (F.col("c_acctbal") > 0).alias("is_active"),
+        F.create_map(F.lit("read"), F.lit("true"), F.lit("write"), _text(key % 2 == 0)).alias("permissions"))
 
 
 def projects(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ from pulsegrain.sources import testbed
 ENTRIES = load()
 # These write, or run a stream, while the frame is built.
 BUILT_BY_RUNNING = {n for n, e in ENTRIES.items()
-                    if n.startswith("stream_") or n in ("event_table_scan", "ingest_json_lines", "dimension_scan", "erased_from_store")}
+                    if n.startswith("stream_") or n in ("event_table_scan", "ingest_json_lines", "dimension_scan", "erased_from_store",
+                                                        "page_after_cursor", "date_range_stored", "sessions_on_user_copy")}
 
 
 def plan(df) -> str:
