@@ -66,18 +66,24 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-def _url_sql() -> str:
-    ranked = sorted((r for r in URL_RULES if r.name), key=lambda r: -len(r.name))
-    fits = lambda r: f"when regexp_matches(target, '{r.pattern}') then"
-    names = " ".join(f"{fits(r)} '{r.name}'" for r in ranked)
-    verdicts = " ".join(f"{fits(r)} '{r.action}'" for r in [*ranked, *(r for r in URL_RULES if not r.name)])
-    part = lambda i: f"coalesce(regexp_extract(url, '{url_filter.SPLIT}', {i}), '')"
-    return f"""with p as (select page_id, translate({part(1)}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, {part(2)} as path from pages),
-t as (select *, host || path as target from p)
-select page_id, host, path, case {names} end as rule, case {verdicts} else 'allow' end as verdict from t"""
-
-
-ORACLE["op4_url_filter"] = _url_sql()
+# The contract's rules, longest first, and then the method's own, written out once more.
+ORACLE["op4_url_filter"] = r"""
+with a as (select page_id, strpos(coalesce(url, ''), '://') as at, url from pages),
+b as (select page_id, case when at > 0 then substr(url, at + 3) else '' end as rest from a),
+c as (select page_id, rest, regexp_extract(rest, '^[^/?#]*') as raw_host from b),
+p as (select page_id, translate(raw_host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+  regexp_extract(substr(rest, length(raw_host) + 1), '^[^?#]*') as path from c),
+r as (select *, case
+  when (host = 'www.example.com' or suffix(host, '.www.example.com')) and prefix(path, '/en/') then 'www.example.com/en/'
+  when (host = 'example.com' or suffix(host, '.example.com')) and prefix(path, '/en/') then 'example.com/en/'
+  when (host = 'net' or suffix(host, '.net')) and prefix(path, '/es/') then 'net/es/'
+  when (host = 'net' or suffix(host, '.net')) and prefix(path, '/fr/') then 'net/fr/'
+  when (host = 'com' or suffix(host, '.com')) and prefix(path, '/') then 'com/' end as rule from p)
+select page_id, host, path, rule, case
+  when rule in ('example.com/en/', 'net/es/', 'net/fr/') then 'block' when rule is not null then 'allow'
+  when regexp_matches(host || path, '^([^/]*[.-])?(cheap-pills|spam-farm)\.') or regexp_matches(host || path, '^[^/]*-casino[.-]')
+    or regexp_matches(host || path, '^([^/]*\.)?ads?[0-9]*\.') or regexp_matches(path, '/wp-(login|admin)\.php$') then 'block'
+  else 'allow' end as verdict from r"""
 
 
 @query
