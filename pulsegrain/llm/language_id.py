@@ -122,8 +122,9 @@ def learn(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     def count(texts: pa.Array) -> pa.Array:
         return pa.array([features(t.as_py()).astype(np.float16).tobytes() for t in texts], pa.binary())
 
-    drawn = rows.where(draw < take).select("id", "lang", F.arrow_udf(count, "binary")("text").alias("x"))
-    drawn = sorted(drawn.limit(2 * sample + 100).collect(), key=lambda r: (str(r.id), r.x))
+    drawn = rows.where(draw < take).select("id", "lang", draw.alias("draw"), F.arrow_udf(count, "binary")("text").alias("x"))
+    # Where ids repeat the draw may hold more than the sample: the same first ones stay on every run.
+    drawn = sorted(drawn.orderBy("draw", "lang", "x").limit(2 * sample + 100).collect(), key=lambda r: (str(r.id), r.x))
     x = np.array([np.frombuffer(r.x, np.float16) for r in drawn], np.float32)
     return Model.fit(x, [r.lang for r in drawn]) if drawn else None
 

@@ -68,8 +68,8 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # The contract's rules, longest first, and then the method's own, written out once more.
 ORACLE["op4_url_filter"] = r"""
-with a as (select page_id, strpos(coalesce(url, ''), '://') as at, url from pages),
-b as (select page_id, case when at > 0 then substr(url, at + 3) else '' end as rest from a),
+with a as (select page_id, strpos(coalesce(url, ''), '://') as pos, url from pages),
+b as (select page_id, case when pos > 0 then substr(url, pos + 3) else '' end as rest from a),
 c as (select page_id, rest, regexp_extract(rest, '^[^/?#]*') as raw_host from b),
 p as (select page_id, translate(raw_host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
   regexp_extract(substr(rest, length(raw_host) + 1), '^[^?#]*') as path from c),

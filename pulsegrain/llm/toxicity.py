@@ -38,6 +38,7 @@ SECOND = frozenset("you your yours yourself u ur du dich dir dein deine euch ihr
 SIGNS = str.maketrans("013457@$!", "oieastasi")
 WORD = re.compile(r"\S+")
 STRIPPED = re.compile(r"^[\W_]+|[\W_]+$")
+# The number of words counts up to 1000: beyond that length says nothing more.
 NAMES = ("words", "insults", "insult_share", "learned", "learned_share", "learned_kinds", "learned_top", "learned_sum",
          "near_second", "near_share", "second_share", "capital_share", "shout_share", "exclaim_share", "sign_share", "disguised", "disguised_share")
 
