@@ -25,10 +25,11 @@ def dedupe_events(df: DataFrame, order: str | None = "id") -> DataFrame:
     """Keep one event of each group equal in user, session, name, time and properties.
 
     Senders retry and may send twice on unload, without an id, so the content is the key.
-    Properties are compared in key order. The lowest ``order`` value is kept.
+    Properties are compared in key order, by the SHA-256 of their text: long ones are not shuffled and sorted a second
+    time as a key. The lowest ``order`` value is kept.
     """
     tie = [F.col(order)] if order and order in df.columns else [F.lit(1)]
-    keyed = df.withColumn("_props_key", props_key())
+    keyed = df.withColumn("_props_key", F.unhex(F.sha2(props_key(), 256)))
     return first_per_key(keyed, [*DELIVERY_KEY, "_props_key"], tie).drop("_props_key")
 
 

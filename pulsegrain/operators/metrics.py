@@ -38,9 +38,9 @@ def counts_users_sessions(events: DataFrame, keys: Sequence[str | Column], exact
                           sums: dict[str, Column] | None = None) -> DataFrame:
     """Per key: number of events, distinct users, distinct sessions, and extra sums.
 
-    Exact distinct counts of two columns make Spark copy every input row per column. So events
-    are first reduced to one row per key, user and session; the copying then happens on those,
-    and a key, user or session with very many events has already collapsed in the map tasks.
+    Tasks reduce events to one row per key and user and one per key and session, which are shuffled once and then
+    only counted. A key, user or session with very many events has already collapsed in the map tasks, and no second
+    shuffle is needed for the distinct counts.
     """
     sums = sums or {}
     if not exact:
@@ -51,15 +51,18 @@ def counts_users_sessions(events: DataFrame, keys: Sequence[str | Column], exact
             F.count("*").alias(count), *wanted, *[F.sum(c).alias(n) for n, c in sums.items()])
     names = [k if isinstance(k, str) else f"_k{i}" for i, k in enumerate(keys)]
     keyed = [F.col(k) if isinstance(k, str) else k for k in keys]
-    aliased = [k.alias(n) for k, n in zip(keyed, names)]
-    who = ["user_id"] + (["session_id"] if sessions else [])
-    reduced = events.groupBy(*aliased, *who).agg(
-        F.count("*").alias("_n"), *[F.sum(c).alias(n) for n, c in sums.items()])
-    distinct = [F.count_distinct("user_id").alias(users)]
-    if sessions:
-        distinct.append(F.count_distinct("session_id").alias(sessions))
+    who = {"user_id": users} | ({"session_id": sessions} if sessions else {})
+    rows = events.select(*[k.alias(n) for k, n in zip(keyed, names)], *who, *[c.alias(n) for n, c in sums.items()])
+    reduced = rows.groupingSets([[*names, kind] for kind in who], *names, *who).agg(
+        F.count("*").alias("_n"), *[F.sum(n).alias(n) for n in sums], *[F.grouping(kind).alias(f"_no_{kind}") for kind in who])
+
+    def of(kind: str, value: str) -> Column:
+        return F.when(F.col(f"_no_{kind}") == 0, F.col(value))
+
     return reduced.groupBy(*names).agg(
-        F.coalesce(F.sum("_n"), F.lit(0)).alias(count), *distinct, *[F.sum(n).alias(n) for n in sums])
+        F.coalesce(F.sum(of("user_id", "_n")), F.lit(0)).alias(count),
+        *[F.count(of(kind, kind)).alias(name) for kind, name in who.items()],
+        *[F.sum(of("user_id", n)).alias(n) for n in sums])
 
 
 def overview(events: DataFrame, project_id: str | None, date_range: str = "30d", as_of: AsOf = None,
@@ -218,15 +221,16 @@ def breakdown_by(metric: Callable[[DataFrame], DataFrame], events: DataFrame, di
 def experiment_readout(events: DataFrame, goal: str, control: str, key: str = "experiment") -> DataFrame:
     """Conversion by variant, difference to the control, and the two-proportion z; definition ours.
 
-    The variant is a property of the events. There is one row per variant, so the final window
-    holds as many rows as the experiment has variants.
+    The variant is a property of the events. The figures of the control are one row, a scalar of the same table of
+    variants, so a property with very many values is not gathered in one task.
     """
     rows = has_prop(events, key).withColumn("variant", prop(key))
     table = conversion_by(rows, goal, "variant")
-    whole = Window.partitionBy(F.lit(1))
+    # Made from all variants, not filtered from them: both readings then share one shuffle.
     is_control = F.col("variant") == control
-    n0 = F.max(F.when(is_control, F.col("users"))).over(whole)
-    x0 = F.max(F.when(is_control, F.col("converted"))).over(whole)
+    found = table.agg(F.struct(F.max(F.when(is_control, F.col("users"))).alias("users"),
+                               F.max(F.when(is_control, F.col("converted"))).alias("converted")).alias("control")).scalar()
+    n0, x0 = found["users"], found["converted"]
     n, x = F.col("users"), F.col("converted")
     p, p0 = ratio(x, n), ratio(x0, n0)
     pooled = ratio(x + x0, n + n0)
