@@ -19,13 +19,19 @@ from pulsegrain.streaming.sources import LateRows, read_late, stream_events, str
 TS = "strftime({}, '%Y-%m-%d %H:%M:%S.%f')"
 EV = with_views(BASE, SESSIONS)
 NO_LATE_ROWS = "400 days"
+ROWS_PER_FILE = 250_000
+
+
+def _files(rows: DataFrame) -> int:
+    """Files for these rows, so that one task has no more of a larger table."""
+    return -(-rows.count() // ROWS_PER_FILE)
 
 
 def _replay(spark, rows: DataFrame) -> DataFrame:
-    """The rows as a stream of files, two to a micro-batch."""
-    path = work_dir(spark, "arrivals")
-    rows.repartitionByRange(4, "timestamp", "id").write.parquet(path)
-    return stream_events(spark, path, 2, rows.schema)
+    """The rows as a stream of files, half of them to a micro-batch."""
+    path, half = work_dir(spark, "arrivals"), max(2, -(-_files(rows) // 2))
+    rows.repartitionByRange(2 * half, "timestamp", "id").write.parquet(path)
+    return stream_events(spark, path, half, rows.schema)
 
 
 def _drain(spark, writer) -> StreamingQuery:
@@ -124,11 +130,13 @@ def _(spark, sf):
 
 
 def _in_turn(spark, parts: list[DataFrame]) -> DataFrame:
-    """A stream of the given frames, one to a micro-batch, in this order."""
-    path = work_dir(spark, "arrivals")
-    for part in parts:
-        part.coalesce(1).write.mode("append").parquet(path)
-    return stream_events(spark, path, 1, parts[0].schema)
+    """A stream of the given frames, one to a micro-batch, in this order. All have the same number of files, some empty."""
+    path, schema, files = work_dir(spark, "arrivals"), parts[0].schema, max(1, *map(_files, parts))
+    for number, part in enumerate(parts, 1):
+        part.coalesce(files).write.mode("append").parquet(path)
+        for _ in range(number * files - len(spark.read.schema(schema).parquet(path).inputFiles())):
+            spark.createDataFrame([], schema).write.mode("append").parquet(path)
+    return stream_events(spark, path, files, schema)
 
 
 @check("stream_recent", "ST-7", with_views(BASE) + """
@@ -160,9 +168,10 @@ def _(spark, sf):
     listener = LateRows(spark, work_dir(spark, "dropped"))
     spark.streams.addListener(listener)
     try:
-        unique = ingest.stream_dedupe(_in_turn(spark, parts), "10 minutes")
+        stream = _in_turn(spark, parts)
+        unique = ingest.stream_dedupe(stream, "10 minutes")
         query = _drain(spark, unique.writeStream.format("parquet").option("path", out).option("checkpointLocation", offsets))
-        _drain(spark, stream_late(_in_turn(spark, parts), beside, work_dir(spark, "offsets"), behind=1))
+        _drain(spark, stream_late(stream, beside, work_dir(spark, "offsets"), behind=1))
         dropped = listener.dropped(query.id)
     finally:
         spark.streams.removeListener(listener)
