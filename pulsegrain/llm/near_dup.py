@@ -2,8 +2,8 @@
 
 1. One pass over the texts makes, per row, the set of its word shingles (64-bit hashes), a 128-bit digest of the set,
    a MinHash signature and its band keys. Rows with equal sets are one node from here on.
-2. In each band bucket one node is compared with the others (a star, not all pairs). A candidate pair
-   brings its signatures, which are compared in batches: after each batch the number of equal values tells how likely
+2. In each band bucket one node is compared with the others (a star, not all pairs), but not if earlier links
+   already put both in one component (``_spanning``). A candidate pair brings its signatures, which are compared in batches: after each batch the number of equal values tells how likely
    a similarity of at least the threshold still is (uniform prior); below ``miss`` the pair is dropped. Survivors are
    confirmed on their full shingle sets, made again from the texts.
 3. Confirmed links give components. Buckets whose nodes then lie in several components are not finished: there, nodes
@@ -193,6 +193,25 @@ def _confirmed(pairs: DataFrame, by_uid: DataFrame, s: Settings) -> DataFrame:
     return staged(spark, both.where(_similar_udf(s)(F.col("ta"), F.col("tb"))).select("a", "b"), "links")
 
 
+def _spanning(pairs: DataFrame, by_uid: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """(links, member) of the star pairs. Members of a large group share most of its buckets and would meet as many centres.
+    First each node meets one, that which most nodes could meet; then only pairs that are still in different components."""
+    spark = pairs.sparkSession
+    both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    times = staged(spark, both.groupBy(F.col("b").alias("centre")).agg(F.count(F.lit(1)).alias("times")), "meetings")
+    best = both.join(times, F.col("b") == F.col("centre")).groupBy("a").agg(F.max(F.struct("times", "b"))["b"].alias("b"))
+    first = staged(spark, best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "first-pairs")
+    links = _confirmed(first, by_uid, s)
+    member = staged(spark, components(links), "components")
+    left, right = (member.select(F.col("node").alias(f"n{x}"), F.col("component").alias(f"c{x}")) for x in "ab")
+    apart = pairs.join(first, ["a", "b"], "left_anti").join(left, F.col("a") == F.col("na"), "left").join(right, F.col("b") == F.col("nb"), "left")
+    apart = staged(spark, apart.where("coalesce(ca, a) != coalesce(cb, b)").select("a", "b"), "apart-pairs")
+    if apart.isEmpty():
+        return links, member
+    links = links.union(_confirmed(apart, by_uid, s))
+    return links, staged(spark, components(links), "components")
+
+
 def _by_uid(base: DataFrame, text: Column, name: str, place: str) -> DataFrame:
     """(uid, signature, body) as a table bucketed by uid: texts are moved once, later joins on uid leave them where they are."""
     spark = base.sparkSession
@@ -324,8 +343,7 @@ def _fates(base: DataFrame, own_id: Column, text: Column, s: Settings) -> DataFr
     try:
         by_uid = _by_uid(base, text, name, place)
         pairs = staged(spark, _stars(buckets, s), "star-pairs")
-        links = _confirmed(pairs, by_uid, s)
-        member = staged(spark, components(links), "components")
+        links, member = _spanning(pairs, by_uid, s)
         more, found = _rest(buckets, by_uid, member, s)
         more = staged(spark, more.join(pairs, ["a", "b"], "left_anti"), "rest-pairs")
         if not more.isEmpty() or not found.isEmpty():
