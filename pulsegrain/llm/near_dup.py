@@ -37,7 +37,7 @@ from pulsegrain.session import work_dir
 from pulsegrain.sources.store import remove
 
 SIGNED = "n bigint, digest binary, signature binary, bands array<bigint>"
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 16
 
 
 @dataclass(frozen=True)
