@@ -1,10 +1,10 @@
 """Language identification in two steps: the family first, then one-versus-one machines inside it.
 
 A text is its lower-cased letters as UTF-8; the counts of its byte pairs and triples, hashed to ``SIZE`` cells, are square-
-rooted and scaled to length 1. Linear support vector machines (squared hinge) are fitted on the driver from a
+rooted and scaled to length 1. Linear support vector machines (squared hinge) are fitted from a
 sample of at most about ``SAMPLE`` labelled rows, the same share of each language's rows as ids hash low enough: one
-machine per family against the rest, and one for each two languages of a family, which vote. Every text is
-scored whole, where it is read.
+machine per family against the rest, and one for each two languages of a family, which vote. The sample meets in a task,
+which fits one machine after the other; the driver gets the weights only. Every text is scored whole, where it is read.
 
 The score is the chance of the family times that of the language in it, both logistic in the margins.
 
@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pulsegrain.llm.common import fresh, shared
+from pulsegrain.llm.common import fresh, shared, small_batches
 
 SIZE = 2048
 SAMPLE = 6000
@@ -37,6 +37,7 @@ FAMILIES = {
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 KEPT = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 PREDICTED = "lang string, score double"
+FITTED = "machine int, langs array<string>, weights binary"
 
 
 def features(text: str) -> np.ndarray:
@@ -51,7 +52,11 @@ def features(text: str) -> np.ndarray:
 
 def fit_svm(x: np.ndarray, y: np.ndarray, strength: float = 1e-4, steps: int = 400) -> np.ndarray:
     """Weights (bias last) by accelerated descent on the squared hinge; both classes weigh the same."""
-    x = np.column_stack([x, np.ones(len(x), np.float32)])
+    return descend(np.column_stack([x, np.ones(len(x), np.float32)]), y, strength, steps)
+
+
+def descend(x: np.ndarray, y: np.ndarray, strength: float = 1e-4, steps: int = 400) -> np.ndarray:
+    """``fit_svm`` of rows that end in a 1."""
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
     w, v = np.zeros(x.shape[1], np.float32), np.zeros(x.shape[1], np.float32)
     for i in range(steps):
@@ -61,6 +66,13 @@ def fit_svm(x: np.ndarray, y: np.ndarray, strength: float = 1e-4, steps: int = 4
     return w
 
 
+def by_family(langs: list[str]) -> dict[str, list[str]]:
+    out: dict[str, list[str]] = {}
+    for code in sorted(langs):
+        out.setdefault(FAMILY_OF.get(code, code), []).append(code)
+    return out
+
+
 @dataclass
 class Model:
     families: list[str]
@@ -69,20 +81,12 @@ class Model:
     inner: dict[tuple[str, str], np.ndarray]
 
     @classmethod
-    def fit(cls, x: np.ndarray, langs: list[str]) -> Model:
-        known, of = sorted(set(langs)), np.array([FAMILY_OF.get(code, code) for code in langs])
-        members: dict[str, list[str]] = {}
-        for code in known:
-            members.setdefault(FAMILY_OF.get(code, code), []).append(code)
-        names, codes = sorted(members), np.array(langs)
-        outer = [fit_svm(x, np.where(of == f, 1, -1).astype(np.float32)) for f in names] if len(names) > 1 else []
-        inner = {}
-        for group in members.values():
-            for i, a in enumerate(group):
-                for b in group[i + 1:]:
-                    rows = (codes == a) | (codes == b)
-                    inner[a, b] = fit_svm(x[rows], np.where(codes[rows] == a, 1, -1).astype(np.float32))
-        return cls(names, members, np.array(outer), inner)
+    def of(cls, known: list[str], weights: dict[tuple[str, ...], np.ndarray]) -> Model:
+        """``known``: the languages in the sample. ``weights``: of a family, or of two languages of one, where both sides had rows."""
+        members = by_family(known)
+        names = sorted(members)
+        inner = {(a, b): weights[a, b] for group in members.values() for i, a in enumerate(group) for b in group[i + 1:]}
+        return cls(names, members, np.array([weights[f,] for f in names] if len(names) > 1 else []), inner)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not any(c.isalpha() for c in text):
@@ -122,11 +126,37 @@ def learn(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     def count(texts: pa.Array) -> pa.Array:
         return pa.array([features(t.as_py()).astype(np.float16).tobytes() for t in texts], pa.binary())
 
-    drawn = rows.where(draw < take).select("id", "lang", draw.alias("draw"), F.arrow_udf(count, "binary")("text").alias("x"))
+    drawn = rows.where(draw < take).select(F.col("id").cast("string").alias("id"), "lang", draw.alias("draw"), F.arrow_udf(count, "binary")("text").alias("x"))
     # Where ids repeat the draw may hold more than the sample: the same first ones stay on every run.
-    drawn = sorted(drawn.orderBy("draw", "lang", "x").limit(2 * sample + 100).collect(), key=lambda r: (str(r.id), r.x))
-    x = np.array([np.frombuffer(r.x, np.float16) for r in drawn], np.float32)
-    return Model.fit(x, [r.lang for r in drawn]) if drawn else None
+    return _fitted(drawn.orderBy("draw", "lang", "x").limit(2 * sample + 100).drop("draw"), list(counts))
+
+
+def _fitted(drawn: DataFrame, langs: list[str]) -> Model | None:
+    """The machines between ``langs``, each from those rows (id, lang, x) that lie on one of its sides."""
+    members = by_family(langs)
+    sides = [((f,), {code: 1 if code in members[f] else -1 for code in langs}) for f in members]
+    sides += [((a, b), {a: 1, b: -1}) for group in members.values() for i, a in enumerate(group) for b in group[i + 1:]]
+    dealt = drawn.sparkSession.createDataFrame(
+        [(code, machine, side) for machine, (_, of) in enumerate(sides) for code, side in of.items()], "code string, machine int, side int")
+
+    def fit(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("id", "ascending"), ("x", "ascending"), ("lang", "ascending")])
+        y, weights = rows["side"].to_numpy().astype(np.float32), None
+        if len(np.unique(y)) > 1:
+            x = np.ones((len(y), SIZE + 1), np.float32)
+            for i, cells in enumerate(rows["x"]):
+                x[i, :SIZE] = np.frombuffer(cells.as_buffer(), np.float16)
+            weights = descend(x, y).tobytes()
+        return pa.table([rows["machine"][:1], pa.array([rows["lang"].unique().to_pylist()], pa.list_(pa.string())),
+                         pa.array([weights], pa.binary())], names=["machine", "langs", "weights"])
+
+    with small_batches(drawn.sparkSession):
+        rows = drawn.join(F.broadcast(dealt), F.col("lang") == F.col("code")).drop("code")
+        made = rows.groupBy("machine").applyInArrow(fit, FITTED).collect()  # a machine's weights are 8 KB
+    # All rows take part in each family's machine, so any of these has seen every language.
+    known = {code for r in made for code in r.langs}
+    weights = {sides[r.machine][0]: np.frombuffer(r.weights, np.float32) for r in made if r.weights is not None}
+    return Model.of(sorted(known), weights) if known else None
 
 
 def predict(docs: DataFrame, model: Model | None, predicted: str = "predicted", text: str = "text") -> DataFrame:
