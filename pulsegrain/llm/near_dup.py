@@ -38,6 +38,7 @@ from pulsegrain.sources.store import remove
 
 SIGNED = "n bigint, digest binary, signature binary, bands array<bigint>"
 REMEMBERED = 1 << 16
+LOCAL = 32
 
 
 @dataclass(frozen=True)
@@ -254,6 +255,25 @@ def _difference_udf(s: Settings):
     return F.arrow_udf(difference, "m bigint, d array<bigint>")
 
 
+def _often(batches):
+    """(reference, size, e, often) of the differences frequent in a batch, counted within it. What more than a sixteenth of a
+    group's members have is told in full, less at most the batches where under a ``LOCAL``-th of the group's members have it."""
+    for batch in batches:
+        reference, size, lengths = (x.to_numpy(zero_copy_only=False) for x in (batch["reference"], batch["size"], batch["d"].value_lengths()))
+        element, owner = batch["d"].flatten().to_numpy(zero_copy_only=False), np.repeat(reference, lengths)
+        order = np.lexsort((element, owner))
+        element, owner = element[order], owner[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (element[1:] != element[:-1]) | (owner[1:] != owner[:-1])
+        start = np.flatnonzero(new)
+        times = np.diff(np.append(start, len(order)))
+        groups, first, members = np.unique(reference, return_index=True, return_counts=True)
+        at = np.searchsorted(groups, owner[start])
+        kept = LOCAL * times > members[at]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (groups[at][kept], size[first][at][kept], element[start][kept], times[kept])],
+                                         names=["reference", "size", "e", "often"])
+
+
 def _by_difference(members: DataFrame, by_uid: DataFrame, s: Settings) -> DataFrame:
     """The links (a, b) of one group (reference, uid, n, component, times), in different components.
 
@@ -262,9 +282,11 @@ def _by_difference(members: DataFrame, by_uid: DataFrame, s: Settings) -> DataFr
     a link needs |X & Y| >= (u(x) + u(y)) / 2 where u(x) = |X| - c |x|, and if that sum is not positive it is a link.
     So with the least u, that of the node z, each x of u(x) <= -u(z) is linked with z, and gives that one pair. Any other x
     needs |X & Y| >= (u(x) + u(z)) / 2 and, as |Y| >= |X & Y|, |X & Y| >= (u(x) - c |r|) / (1 + c); a partner y of such an x
-    needs |X & Y| > (u(y) - u(z)) / 2. Of two sets with k common elements, one is left in both after taking away the k - 1
-    commonest from each: only nodes that share one of these rarer differences are paired. In a group of near copies
-    these are the few that have the same edits. Pairs are decided by |x ^ y| = |X| + |Y| - 2 |X & Y|, without texts.
+    needs |X & Y| > (u(y) - u(z)) / 2, and what any x needs if it is such an x itself. All sets are put in one order, what is
+    frequent in the group first, the rest by value. If X and Y have k common elements, the last of them has a place of at least k
+    in both: only elements from the place on that a node needs are exploded, and nodes are paired by one whose place in both
+    reaches (u(x) + u(y)) / 2. In a group of near copies these are the few that have the same edits. Which elements count as
+    frequent bears on the work only. Pairs are decided by |x ^ y| = |X| + |Y| - 2 |X & Y|, without texts.
     """
     spark, c = by_uid.sparkSession, (100 - s.percent) / (100 + s.percent)
     central = members.groupBy(F.col("reference").alias("r")).agg(F.max(F.struct("times", "uid"))["uid"].alias("pivot"), F.count(F.lit(1)).alias("size"))
@@ -275,35 +297,41 @@ def _by_difference(members: DataFrame, by_uid: DataFrame, s: Settings) -> DataFr
     made = both.withColumn("made", _difference_udf(s)(F.col("own"), F.col("other"))).select("reference", "uid", "n", "component", "size", "made.*")
     made = staged(spark, made, "differences")
 
-    often = made.select("reference", "size", F.explode("d").alias("e")).groupBy("reference", "e").agg(F.count(F.lit(1)).alias("often"), F.first("size").alias("size"))
-    often = staged(spark, often.where("often > 1 or 2 * often > size"), "frequent-differences")
-    # Elements in which most members differ: at most twice the mean number of differences.
-    usual = often.where("2 * often > size").groupBy(F.col("reference").alias("r")).agg(F.collect_list("e").alias("usual"))
-    core = made.join(staged(spark, usual, "usual-differences"), F.col("reference") == F.col("r"), "left").withColumn("usual", F.coalesce("usual", F.array().cast("array<bigint>")))
+    often = made.select("reference", "size", "d").mapInArrow(_often, "reference bigint, size bigint, e bigint, often bigint")
+    often = often.groupBy("reference", "e").agg(F.sum("often").alias("often"), F.first("size").alias("size")).where("16 * often > size")
+    # Elements in which most members differ: at most twice the mean number of differences. From the core differ, in a usual
+    # element, those members that do not differ in it from the pivot. Frequent ones: at most 16 times that mean, and the usual ones.
+    often = often.withColumn("held", F.expr("if(2 * often > size, size - often, often)"))
+    lists = often.groupBy(F.col("reference").alias("r")).agg(
+        F.collect_list(F.expr("if(2 * often > size, e, null)")).alias("usual"),
+        F.array_sort(F.collect_list(F.expr("if(16 * held > size, struct(-held as less, e), null)")))["e"].alias("frequent"))
+    none = F.array().cast("array<bigint>")
+    core = made.join(staged(spark, lists, "frequent-differences"), F.col("reference") == F.col("r"), "left")
+    core = core.withColumns({"usual": F.coalesce("usual", none), "frequent": F.coalesce("frequent", none)})
+    core = core.withColumn("d", F.concat(F.array_except("d", "usual"), F.array_except("usual", "d")))
     core = core.select("reference", "uid", "n", "component", (F.col("m") + F.size("usual")).alias("m"),
-                       F.concat(F.array_except("d", "usual"), F.array_except("usual", "d")).alias("d"))
+                       F.concat(F.array_intersect("frequent", "d"), F.array_sort(F.array_except("d", "frequent"))).alias("d"))
     core = staged(spark, core.withColumn("u", F.size("d") - c * F.col("n")), "core-differences")
     least = core.groupBy(F.col("reference").alias("r")).agg(F.min(F.struct("u", "uid", "component")).alias("z"))
     # The bounds are rounded up; the small number keeps them right where the division is not exact.
-    need = lambda bound: F.greatest(F.lit(1), F.ceil(bound - 1e-6))
+    need = lambda bound: F.greatest(F.lit(1), F.ceil(bound - 1e-6)).cast("int")
     u, uz = F.col("u"), F.col("z.u")
-    core = staged(spark, core.join(least, F.col("reference") == F.col("r")).select(
-        "reference", "uid", "n", "component", "d", "u", F.col("z.uid").alias("z"), F.col("z.component").alias("cz"), (u + uz > 1e-6).alias("far"),
-        need(F.greatest((u + uz) / 2, (u - c * F.col("m")) / (1 + c))).alias("need_x"), need((u - uz) / 2).alias("need_y")), "bounded-differences")
+    need_x, need_y = need(F.greatest((u + uz) / 2, (u - c * F.col("m")) / (1 + c))), need((u - uz) / 2)
+    core = core.join(least, F.col("reference") == F.col("r")).withColumn("far", u + uz > 1e-6)
+    core = staged(spark, core.select(
+        "reference", "uid", "n", "component", "d", "u", F.col("z.uid").alias("z"), F.col("z.component").alias("cz"), "far",
+        F.when(F.col("far"), need_x).otherwise(need_y).alias("need"),
+        F.when(F.col("far"), F.greatest(need_x, need_y)).otherwise(need_y).alias("need_y")), "bounded-differences")
     direct = core.where("not far and component != cz").select("reference", F.least("uid", "z").alias("a"), F.greatest("uid", "z").alias("b"))
 
     # No difference has a place beyond their number, so a node with fewer than it needs has no partner.
-    each = core.where("size(d) >= least(need_x, need_y)").select("reference", "uid", F.explode("d").alias("e"))
-    # From the core differ, in a usual element, those members that do not differ in it from the pivot.
-    shared = often.select(F.col("reference").alias("r"), F.col("e").alias("f"), F.expr("if(2 * often > size, size - often, often)").alias("often")).where("often > 1")
-    common = Window.partitionBy("reference", "uid").orderBy(F.desc("often"), "e")
-    ranked = each.join(shared, F.expr("reference = r and e = f")).select("reference", "uid", "e", F.row_number().over(common).alias("place"))
-    facts = core.select(F.col("uid").alias("id"), F.col("reference").alias("r"), "n", "component", "u", F.size("d").alias("nd"), "far", "need_x", "need_y")
-    ranked = staged(spark, ranked.join(facts, F.expr("uid = id and reference = r")).where("place >= least(need_x, need_y)").drop("id", "r"), "rare-differences")
-    name = lambda end: [F.col(k).alias(k + end) for k in ("uid", "n", "component", "u", "nd")]
-    x = ranked.where("far and place >= need_x").select("reference", "e", *name("x"))
+    each = core.where("size(d) >= need").select("reference", "uid", "n", "component", "u", "far", "need", "need_y",
+                                                F.posexplode(F.slice("d", F.col("need"), F.size("d"))).alias("at", "e"))
+    ranked = staged(spark, each.withColumn("place", F.col("need") + F.col("at")).drop("need", "at"), "rare-differences")
+    name = lambda end: [F.col(k).alias(k + end) for k in ("uid", "n", "component", "u", "place")]
+    x = ranked.where("far").select("reference", "e", *name("x"))
     y = ranked.where("place >= need_y").select(F.col("reference").alias("r"), F.col("e").alias("f"), *name("y"))
-    pairs = x.join(y, F.expr("reference = r and e = f and componentx != componenty and 2 * least(ndx, ndy) >= ux + uy - 1e-6") & _sized("nx", "ny", s))
+    pairs = x.join(y, F.expr("reference = r and e = f and componentx != componenty and 2 * least(placex, placey) >= ux + uy - 1e-6") & _sized("nx", "ny", s))
     pairs = direct.union(pairs.select("reference", F.least("uidx", "uidy").alias("a"), F.greatest("uidx", "uidy").alias("b"))).distinct()
     pairs = staged(spark, pairs, "difference-pairs")
     side = lambda end: core.select(F.col("reference").alias("r"), F.col("uid").alias(end), F.col("n").alias(f"n{end}"), F.col("d").alias(f"d{end}"))
