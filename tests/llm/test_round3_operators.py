@@ -81,7 +81,6 @@ def test_only_differences_that_can_pair_are_exploded(spark, monkeypatch):
     s = near_dup.Settings(words=2, large=8)
     got = {r.doc_id: r.component_id for r in near_dup.classes(docs, s).select("row.doc_id", "component_id").collect()}
     monkeypatch.undo()
-    print(sizes, exploded)
     assert got == {r.doc_id: r.component_id for r in near_dup.classes(docs, near_dup.Settings(words=2, large=10**6)).select("row.doc_id", "component_id").collect()}
     assert sizes["core-differences"] > 4000 and 0 < sum(exploded.values()) < 0.75 * sizes["core-differences"]
 
